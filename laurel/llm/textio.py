@@ -74,9 +74,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers) < n:
         size = max(n, SLICE_BYTES + (1 << 16))
         inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, dtype=np.uint64)]).astype(np.uint64))
-            _inverse = np.cumprod(np.concatenate([[1], np.full(size - 1, inverse, dtype=np.uint64)]).astype(np.uint64))
+        made = []
+        for factor in (_BASE, inverse):
+            steps = np.full(size, factor, dtype=np.uint64)
+            steps[0] = 1
+            made.append(np.cumprod(steps))
+        _powers, _inverse = made
     return _powers, _inverse
 
 
