@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import bpe, decontaminate, quality_rules, token_counts, url_filter
+from laurel.llm import bpe, decontaminate, near_dup, quality_rules, token_counts, url_filter
 from laurel.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed", "kept_share")
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
+    "op6_near_dup": op6_near_dup,
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
