@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import bpe, decontaminate, near_dup, quality_rules, token_counts, url_filter
+from laurel.llm import bpe, decontaminate, near_dup, quality_model, quality_rules, token_counts, url_filter
 from laurel.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,6 +14,26 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
 
 
+def crc_remainder(id: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5: the fold of a row."""
+    return F.crc32(F.col(id).cast("string")) % 5
+
+
+#: Scores from here on predict label 1.
+QUALITY_CUT = 0.3
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and score of all `docs`, learnt from the labelled ones outside fold 0."""
+    model = quality_model.fit(docs.where(crc_remainder() != 0), labels.where(crc_remainder() != 0))
+    return quality_model.score(docs, model)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (crc_remainder() == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -43,6 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
