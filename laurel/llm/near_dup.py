@@ -192,11 +192,14 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of u, linked to the least of u and its neighbours.
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Joined on ~a: either side then has an exchange of its own, so that a node of very many links can be split.
+        apart = least.select(F.bitwise_not("a").alias("k"), "m")
+        large = both.where("b > a").withColumn("k", F.bitwise_not("a")).join(apart, "k").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: every smaller neighbour of u and u itself, linked to the least of them.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e"))
+        apart = least.select(F.bitwise_not("a").alias("k"), "m")
+        small = down.withColumn("k", F.bitwise_not("a")).join(apart, "k").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e"))
         step = small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
         current = shared.written(step, "links")
         state = _state(current)
@@ -231,7 +234,8 @@ def candidate_links(reps: DataFrame, threshold: float, bucket: int) -> DataFrame
     """Links (a, b) whose components hold every pair at or above the threshold."""
     rows = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    members = rows.join(sizes, "bucket")
+    apart = sizes.select(F.bitwise_not("bucket").alias("k"), "n", "least")  # an exchange of its own, as in components()
+    members = rows.withColumn("k", F.bitwise_not("bucket")).join(apart, "k")
     far = members.where(F.col("n") > bucket).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     lists = members.where(F.col("n") <= bucket).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
     pairs = lists.select(F.xxhash64("ids").alias("block"), F.explode("ids").alias("id"))

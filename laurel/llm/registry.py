@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import bpe, decontaminate, near_dup, quality_model, quality_rules, token_counts, url_filter
+from laurel.llm import bpe, decontaminate, near_dup, quality_model, quality_rules, shared, token_counts, url_filter, warc
 from laurel.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed", "kept_share")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared.new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), archives)
+    pages = warc.read(spark, archives)
+    own = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256))
+    digest = F.when(F.col("record_type") == "revisit", F.col("declared_digest")).otherwise(own)
+    return pages.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +78,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_near_dup": op6_near_dup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op4_decontamination": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
+SQL = {"op4_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
