@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import bpe, decontaminate, near_dup, quality_model, quality_rules, shared, token_counts, url_filter, warc
+from laurel.llm import bpe, decontaminate, language_model, near_dup, quality_model, quality_rules, secret_scan, shared, token_counts, url_filter, warc
 from laurel.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,6 +49,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder() == 1
+    scored = language_model.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -67,6 +73,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score", "is_secret")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -76,9 +87,11 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
+    "op5_lm": op5_lm,
     "op6_near_dup": op6_near_dup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
 SQL = {"op4_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
