@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laurel.llm import textio
+from laurel.llm import shared, textio
 
 WIDTH = 13
 #: Words in a block of the shift table, and bits of that table.
@@ -122,7 +122,7 @@ def compiled(items: list[tuple[str, str | None]], width: int = WIDTH) -> list[Pa
 
 def searched(docs: DataFrame, patterns: list[Patterns]) -> DataFrame:
     """SCHEMA rows for `docs` (id, text): spans are first and last word of united occurrences, counted from 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    held = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in textio.slices(batches, "text"):
@@ -131,7 +131,7 @@ def searched(docs: DataFrame, patterns: list[Patterns]) -> DataFrame:
             hashes = textio.word_hashes(buf, starts, ends)
             edge = np.zeros(len(starts) + 1, dtype=np.int64)
             items: dict[int, set[str]] = {}
-            for group in shared.value:
+            for group in held.value:
                 last, pattern = group.search(buf, starts, ends, first, hashes)
                 np.add.at(edge, last - group.width + 1, 1)
                 np.add.at(edge, last + 1, -1)
@@ -198,6 +198,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their columns. Only the ids of contaminated rows are joined."""
+    bad = judge(docs, benchmark, id, text, **parameters).where("contaminated").select(id).distinct()
+    return docs.join(shared.written(bad, "contaminated"), id, "left_anti").select(docs.columns)
+
+
 #: The rule itself in SQL, over all windows of all texts.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -433,3 +433,9 @@ def groups(
     out = signs.select("id", "n_shingles", "digest").join(merged, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """One row of each group (that of the smallest id), with the columns of `docs`; only the ids of the others are joined."""
+    rest = groups(docs, id, text, **parameters).where("NOT kept").select(id).distinct()
+    return docs.join(shared.written(rest, "copies"), id, "left_anti").select(docs.columns)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laurel.llm import textio
 
@@ -244,14 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return fitted(texts, ys)
 
 
-def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id and score (0 to 1) of the whole text."""
+def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """Per row: id and score (0 to 1) of the whole text; with `keep`, all columns of `docs` (a "score" among them is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("score") if keep else docs.select(id, text)
+    names = rows.columns if keep else [id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offsets in textio.slices(batches, "text"):
+        for part, buf, offsets in textio.slices(batches, text):
             scores = [shared.value.score(found) for found in slice_features(buf, offsets)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
 
-    kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id)
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), T.StructField("score", T.DoubleType())]))

@@ -23,10 +23,10 @@ def crc_remainder(id: str = "doc_id") -> Column:
 QUALITY_CUT = 0.3
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and score of all `docs`, learnt from the labelled ones outside fold 0."""
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id (with `keep`, all columns) and score of all `docs`, learnt from the labelled ones outside fold 0."""
     model = quality_model.fit(docs.where(crc_remainder() != 0), labels.where(crc_remainder() != 0))
-    return quality_model.score(docs, model)
+    return quality_model.score(docs, model, keep=keep)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
