@@ -201,7 +201,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns. Only the ids of contaminated rows are joined."""
     bad = judge(docs, benchmark, id, text, **parameters).where("contaminated").select(id).distinct()
-    return docs.join(shared.written(bad, "contaminated"), id, "left_anti").select(docs.columns)
+    return docs.join(shared.written(bad, "contaminated", few_files=True), id, "left_anti").select(docs.columns)
 
 
 #: The rule itself in SQL, over all windows of all texts.

@@ -186,7 +186,7 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reached) for all nodes of the links (a, b), by large-star and small-star steps until nothing changes."""
-    current = shared.written(forests(links), "links")
+    current = shared.written(forests(links), "links", few_files=True)
     last = _state(current)
     while last[0]:
         # Large star: every larger neighbour of u, linked to the least of u and its neighbours.
@@ -201,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
         apart = least.select(F.bitwise_not("a").alias("k"), "m")
         small = down.withColumn("k", F.bitwise_not("a")).join(apart, "k").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e"))
         step = small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        current = shared.written(step, "links")
+        current = shared.written(step, "links", few_files=True)
         state = _state(current)
         if state == last:
             break
@@ -245,9 +245,11 @@ def candidate_links(reps: DataFrame, threshold: float, bucket: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = UnionFind()
-            for m in batch.column("m").to_pylist():
-                ids = [x["id"] for x in m]
-                for i, j in estimated_forest(np.array([np.frombuffer(x["sketch"], dtype=np.uint8) for x in m]), least):
+            for m in batch.column("m"):
+                rows = m.values
+                ids = rows.field("id").to_pylist()
+                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                for i, j in estimated_forest(sketches, least):
                     groups.union(ids[i], ids[j])
             found = groups.members()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
@@ -381,11 +383,11 @@ def large_families(members: DataFrame, width: int, percent: int, block: int = BL
     """Links (a, b) of families (family, id, n_shingles, text) of any size: anchors first, then those outside the largest component in blocks."""
     drawn = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"a{k}") for k in range(ANCHORS)]
     chosen = members.groupBy("family").agg(F.ceil(F.count("*") / (4 * block)).alias("salts"), *drawn)
-    chosen = shared.written(chosen, "anchors")
+    chosen = shared.written(chosen, "anchors", few_files=True)
     salts = chosen.select("family", "salts")
     anchors = chosen.select("family", F.explode(F.array_distinct(F.array(*[f"a{k}" for k in range(ANCHORS)]))).alias("id"))
     anchored = members.join(anchors, ["family", "id"]).select("family", F.lit(0).cast("long").alias("number"), "id", "text")
-    tied = shared.written(met(members.select("family", "id", "text"), anchored, salts, width, percent), "tied")
+    tied = shared.written(met(members.select("family", "id", "text"), anchored, salts, width, percent), "tied", few_files=True)
     grouped = components(tied).select(F.col("node").alias("id"), "component")
     placed = members.select("family", "id", "n_shingles").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("family", "component").count()
@@ -415,14 +417,14 @@ def groups(
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     signs = shared.written(signed(source, width, bands, rows), "signatures")
     classes = signs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = shared.written(classes, "classes")
+    classes = shared.written(classes, "classes", few_files=True)
     reps = signs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = shared.written(reps.select("id", "n_shingles", "sketch", "bands"), "representatives")
-    families = shared.written(components(candidate_links(reps, percent / 100, bucket)).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    families = shared.written(components(candidate_links(reps, percent / 100, bucket)).select(F.col("node").alias("id"), F.col("component").alias("family")), "families", few_files=True)
     weighed = families.join(reps.select("id", "n_shingles"), "id")
     sizes = weighed.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     wanted = weighed.join(sizes, "family").select("family", "id", "n_shingles", ((F.col("n") > family) | (F.col("total") > family_shingles)).alias("large"))
-    wanted = shared.written(wanted, "wanted")
+    wanted = shared.written(wanted, "wanted", few_files=True)
     texts = source.join(wanted, "id")
     links = small_families(texts.where("NOT large"), width, percent)
     if not wanted.where("large").isEmpty():
@@ -438,4 +440,4 @@ def groups(
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """One row of each group (that of the smallest id), with the columns of `docs`; only the ids of the others are joined."""
     rest = groups(docs, id, text, **parameters).where("NOT kept").select(id).distinct()
-    return docs.join(shared.written(rest, "copies"), id, "left_anti").select(docs.columns)
+    return docs.join(shared.written(rest, "copies", few_files=True), id, "left_anti").select(docs.columns)

@@ -27,9 +27,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: it survives lost executors and has no lineage."""
+def written(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: it survives lost executors and has no lineage.
+
+    `few_files` is for narrow rows behind a shuffle: they are dealt to as many files as the cluster has cores.
+    """
     path = new_path(df.sparkSession, name)
+    if few_files:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -144,7 +144,7 @@ def typed(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Written, so that the join has an exchange of its own on either side and a digest of very many pages can be split.
     long = rows.where(F.octet_length("payload") >= revisit_bytes)
-    firsts = shared.written(long.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least"), "firsts")
+    firsts = shared.written(long.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least"), "firsts", few_files=True)
     return rows.join(firsts, "digest", "left").withColumn("first", F.when(F.col("least") != F.col("id"), F.col("least"))).drop("least")
 
 
