@@ -65,10 +65,10 @@ def mode(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     return counted.groupBy(*by).agg(best.alias(column), F.max("n").alias("n"))
 
 
-def iqr_outliers(rows: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Per group of four values or more with a spread: quartiles and the number of values beyond 1.5 times it."""
+def iqr_outliers(rows: DataFrame, by: list[str], column: str, times: float = 1.5) -> DataFrame:
+    """Per group of four values or more with a spread: quartiles and the number of values beyond `times` of it."""
     q = rows.groupBy(*by).agg(F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"), F.count(column).alias("n")).where("n >= 4 AND q3 > q1")
-    spread = 1.5 * (F.col("q3") - F.col("q1"))
+    spread = times * (F.col("q3") - F.col("q1"))
     joined = rows.join(q, by)
     out = (F.col(column) < F.col("q1") - spread) | (F.col(column) > F.col("q3") + spread)
     return joined.groupBy(*by).agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.count_if(out).alias("outliers"))

@@ -1,40 +1,6 @@
 """All registered queries of the engine's own operators, with the SQL that checks them."""
 
-from __future__ import annotations
+from laurel.plans import relational  # noqa: F401
+from laurel.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from laurel.session import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query (spark, sf_dir) -> DataFrame, with its check in DuckDB SQL if there is one."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return add
-
-
-@query(
-    "topn_per_group",
-    """WITH c AS (SELECT p_brand, l_suppkey, CAST(count(*) AS BIGINT) AS outcomes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY outcomes DESC, l_suppkey) AS INTEGER) AS place FROM c) SELECT * FROM r WHERE place <= 10""",
-)
-def topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("p_brand", "l_suppkey")
-        .agg(F.count("*").alias("outcomes"))
-    )
-    best = W.partitionBy("p_brand").orderBy(F.desc("outcomes"), "l_suppkey")
-    return counted.withColumn("place", F.row_number().over(best)).where("place <= 10")
+__all__ = ["QUERIES", "SQL"]
