@@ -100,7 +100,7 @@ def event_signature(text: Column, parents: list[Column] | None = None, repeats:
     out = F.regexp_replace(out, r"(\d),(\d{3})\b", "$1$2")
     out = normal(out)
     out = F.regexp_replace(out, r"\b(\d+) x (\d+)\b", "$1x$2")
-    out = F.regexp_replace(out, r"\b(\d+) ?(m|metres?|meters?)\b", "$1 metres")
+    out = F.regexp_replace(out, r"(\d+) ?(m|metres?|meters?)\b", "$1 metres")
     out = F.regexp_replace(out, r"\b(men|women) s\b", "$1")
     for parent in parents or []:
         out = F.regexp_replace(out, F.concat(F.lit(r"\b"), normal(parent), F.lit(r"\b")), F.lit(" "))

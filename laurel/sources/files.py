@@ -55,8 +55,8 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None, s
     """A CSV file with all columns as text and empty fields as empty text; with `strict`, ragged rows fail."""
     encoding = encoding or detect_encoding(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\u0000")
-    return reader.option("encoding", _CHARSETS.get(encoding, encoding)).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("emptyValue", "")
+    return reader.option("encoding", _CHARSETS.get(encoding, encoding)).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path).na.fill("")
 
 
 def read_csv_pair(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
