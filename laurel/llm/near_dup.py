@@ -165,20 +165,6 @@ class UnionFind:
         return [(x, root) for x in list(self.above) if (root := self.find(x)) != x]
 
 
-def forests(links: DataFrame) -> DataFrame:
-    """Links of each partition, reduced by union-find to member and smallest; distinct links of one partition stay bounded by its rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = UnionFind()
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                groups.union(a, b)
-        found = groups.members()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
-
-
 def _state(links: DataFrame) -> tuple:
     """Count and sum of hashes: equal only for equal links."""
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -186,7 +172,7 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reached) for all nodes of the links (a, b), by large-star and small-star steps until nothing changes."""
-    current = shared.written(forests(links), "links", few_files=True)
+    current = shared.written(links.select("a", "b").where("a <> b").distinct(), "links", few_files=True)
     last = _state(current)
     while last[0]:
         # Large star: every larger neighbour of u, linked to the least of u and its neighbours.

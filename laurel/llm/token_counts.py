@@ -25,7 +25,7 @@ from laurel.llm.vocabulary import vocabulary
 
 NO_RANK = np.int64(1 << 40)
 #: Pre-tokens whose counts a worker remembers; beyond it the memory is emptied (it saves work, never drops rows).
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 
 
 class PairTable:
@@ -151,6 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
         for part, _, offsets in textio.slices(batches, "text"):
             texts = part.column("text").fill_null("").to_pylist()
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), pa.array(count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+        counter(tokenizer).known.clear()  # a worker serves other tasks next
 
     kind = docs.schema[id].dataType.simpleString()
     out = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
