@@ -70,18 +70,19 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     a = a.withColumn("_kept", F.array_distinct(F.transform(F.filter("_judged", lambda x: x["why"].isNull()), lambda x: x["line"])))
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    b = a.select(
-        *keep,
+    found = F.struct(
         F.array_join("_kept", "\n").alias("clean_text"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
         F.array_sort(F.array_distinct(F.transform(F.filter("_judged", lambda x: x["why"].isNotNull()), lambda x: x["why"]))).alias("removed_reasons"),
         F.coalesce(F.try_divide(chars(F.col("_kept")), chars(F.col("_lines"))), F.lit(0.0)).alias("kept_share"),
-        "n_words",
+        F.col("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size("_distinct")).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        F.col("n_repeat_words"),
         base.alias("base_failed"),
     )
+    # Through a generator of one row: a filter on the results is not pushed below it, where it would repeat all this.
+    b = a.select(*keep, F.explode(F.array(found)).alias("_r")).select(*keep, "_r.*")
     return b.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= MIN_KEPT_SHARE))
