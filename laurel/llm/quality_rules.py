@@ -26,6 +26,7 @@ MAX_SYMBOL_SHARE, MAX_CAPITAL_SHARE = 0.08, 0.6
 NAV_SEPARATORS = 3
 #: A document is rejected if its kept lines have less than this share of the characters in its lines.
 MIN_KEPT_SHARE = 0.5
+_PAD = "__pad_of_quality_rules"
 BOILERPLATE = r"(?i)\b(all rights reserved|cookie policy|accept cookies|we use cookies|privacy policy|terms of (use|service)|enable javascript|javascript is (required|disabled)|sign (in|up) to|log ?in to continue|subscribe to our|click here to|share this (page|article)|powered by)\b"
 
 
@@ -56,8 +57,8 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ["clean_text", "n_lines", "n_removed", "removed_reasons", "kept_share", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     keep = [c for c in docs.columns if c not in made]
     whole = F.coalesce(F.col(text), F.lit(""))
-    # Arrays that a lambda reads stand in columns of their own, used twice, so that they are made once a row.
-    a = docs.select(*keep, whole.alias("_t"), spaced(whole).alias("_w"), F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"))
+    # The input's columns travel as one struct, so that no name clashes. Arrays that a lambda reads stand in columns of their own, used twice, so that they are made once a row.
+    a = docs.select(F.struct(F.lit(0).alias(_PAD), *[F.col(c) for c in keep]).alias("_row"), whole.alias("_t"), spaced(whole).alias("_w"), F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"))
     a = a.withColumn("n_words", F.size("_w").cast("long"))
     a = a.withColumn("_p", F.expr("CASE WHEN n_words <= 1024 THEN 10 WHEN n_words <= 65536 THEN 16 WHEN n_words <= 16777216 THEN 24 ELSE 31 END"))
     a = a.withColumn("_h", F.expr("CASE WHEN n_words >= 5 THEN transform(sequence(1, CAST(n_words AS INT) - 4), i -> xxhash64(slice(_w, i, 5))) ELSE CAST(array() AS ARRAY<BIGINT>) END"))
@@ -84,5 +85,5 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         base.alias("base_failed"),
     )
     # Through a generator of one row: a filter on the results is not pushed below it, where it would repeat all this.
-    b = a.select(*keep, F.explode(F.array(found)).alias("_r")).select(*keep, "_r.*")
+    b = a.select("_row", F.explode(F.array(found)).alias("_r")).select("_row.*", "_r.*").drop(_PAD)
     return b.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= MIN_KEPT_SHARE))

@@ -149,10 +149,10 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", findings: Data
 
 def redacted(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[secret]", cut: float = CUT, findings: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` with every secret replaced by `mark`. Only texts with candidates meet their findings in a join."""
-    columns = docs.columns
     has = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
     found = scan(docs, id, text, findings, cut).where("is_secret").groupBy(F.col(id).alias("_id")).agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-    with_some = docs.where(has)
-    with_some = with_some.join(found, with_some[id] == found["_id"], "left")
-    new = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return with_some.withColumn(text, new).select(columns).unionByName(docs.where(~has))
+    # The rows travel as one struct, so that none of their names can clash with these.
+    rows = docs.where(has).select(F.col(id).alias("_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    new = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("_row")[text], lambda t, s: F.replace(t, s, F.lit(mark)))
+    changed = rows.join(found, F.col("_key") == F.col("_id"), "left").select(F.col("_row").withField(text, new).alias("_row"))
+    return changed.select("_row.*").unionByName(docs.where(~has))

@@ -74,7 +74,7 @@ def base_counts(text):
 
 def test_base_counts(spark, sf, odd, nothing):
     for docs in (documents(spark, sf), odd):
-        for r in quality_rules.judge(docs.select("doc_id", "text", F.lit("x").alias("kept"))).collect():
+        for r in quality_rules.judge(docs.select("doc_id", "text", *[F.lit("x").alias(c) for c in ("kept", "_t", "_w", "_row", "line", "n_lines")])).collect():
             want = base_counts(r.text)
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
             assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
