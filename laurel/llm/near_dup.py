@@ -427,3 +427,17 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **para
     """One row of each group (that of the smallest id), with the columns of `docs`; only the ids of the others are joined."""
     rest = groups(docs, id, text, **parameters).where("NOT kept").select(id).distinct()
     return docs.join(shared.written(rest, "copies", few_files=True), id, "left_anti").select(docs.columns)
+
+
+#: Links of all pairs that share a shingle (4 words, 80 per cent) and what they reach, for a check on small tables.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i : i + 3] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+v AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM v UNION ALL SELECT b, a FROM v),
+r AS (SELECT DISTINCT a AS doc_id, a AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT doc_id, min(seen) AS m FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -87,3 +87,22 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     # Through a generator of one row: a filter on the results is not pushed below it, where it would repeat all this.
     b = a.select("_row", F.explode(F.array(found)).alias("_r")).select("_row.*", "_r.*").drop(_PAD)
     return b.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= MIN_KEPT_SHARE))
+
+
+#: The same counts and rules in SQL, for a check.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, i, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM a WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+k AS (SELECT doc_id, list_distinct(list_filter(lines, lambda x: NOT (
+   len(regexp_split_to_array(x, '[\t\n\x0B\f\r ][|»›>·][\t\n\x0B\f\r ]')) > 3
+   OR length(x) - length(translate(x, '#*$%&|<>{}~^=\', '')) > 0.08::DOUBLE * length(x)
+   OR (length(regexp_replace(x, '[^\p{L}]+', '', 'g')) >= 12 AND length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) > 0.6::DOUBLE * length(regexp_replace(x, '[^\p{L}]+', '', 'g')))
+   OR (regexp_matches(x, '(\.\.\.|…)[\t\n\x0B\f\r ]*$') AND length(x) < 60)
+   OR regexp_matches(x, '""" + BOILERPLATE + r"""')))) AS kept FROM a),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(t, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+ (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_removed,
+ CASE WHEN len(lines) = 0 THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0)::DOUBLE / list_sum(list_transform(lines, lambda x: length(x)))::DOUBLE END AS kept_share FROM a JOIN k USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_share >= 0.5 AS kept FROM c
+"""

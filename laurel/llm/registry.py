@@ -94,4 +94,4 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op4_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
+SQL = {"op4_decontamination": decontaminate.ORACLE, "op6_near_dup": near_dup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
