@@ -86,33 +86,67 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.offset, -30, 30))))
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+@dataclass
+class Rows:
+    """The features of many texts in one array, text after text."""
+
+    flat: np.ndarray
+    bounds: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.bounds[i] : self.bounds[i + 1]]
+
+
+def rows_of(texts: list[str | None]) -> Rows:
+    """Few large arrays instead of many small ones, so that the driver gets their memory back."""
+    parts, sizes = [], []
+    for at in range(0, len(texts), 256):
+        batch = pa.record_batch({"text": pa.array(texts[at : at + 256], pa.string())})
+        found = [x for _, buf, offsets in textio.slices([batch], "text") for x in slice_features(buf, offsets)]
+        sizes += map(len, found)
+        parts.append(np.concatenate(found).astype(np.int32))
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = np.empty(bounds[-1], dtype=np.int32)
+    end = len(flat)
+    while parts:  # each part goes as it is copied
+        part = parts.pop()
+        flat[end - len(part) : end] = part
+        end -= len(part)
+    return Rows(flat, bounds)
+
+
+def log_count_ratios(rows: Rows, labels: np.ndarray) -> np.ndarray:
     """log(p / q) of every feature; p and q are its smoothed counts among positive and negative rows over their sums."""
     counts = [np.full(FEATURES, SMOOTH), np.full(FEATURES, SMOOTH)]
-    for found, label in zip(rows, labels, strict=True):
-        counts[int(label)][found] += 1
+    for i, label in enumerate(labels.tolist()):
+        counts[label][rows[i]] += 1
     sizes = [max(1, int((labels == k).sum())) + 2 * SMOOTH for k in (0, 1)]
     return np.log(counts[1] / sizes[1]) - np.log(counts[0] / sizes[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: Rows, scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights (already multiplied by `scale`) and bias of the L1-loss linear support vector machine; classes weigh alike."""
     sign = np.where(labels == 1, 1.0, -1.0)
     share = {1: (labels == 1).mean(), 0: (labels == 0).mean()}
     cost = COST * np.array([0.5 / share[int(x)] for x in labels])
-    values = [scale[found] / np.sqrt(max(1, len(found))) for found in rows]
-    square = np.array([float(v @ v) + 1.0 for v in values])
+    short = 1 / np.sqrt(np.maximum(1, np.diff(rows.bounds)))
+    square = np.array([float(np.square(scale[rows[i]] * short[i]).sum()) + 1.0 for i in range(len(rows))])
     alpha, weights, bias = np.zeros(len(rows)), np.zeros(FEATURES), 0.0
     order = np.random.default_rng(7)
     for _ in range(PASSES):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            gradient = sign[i] * (float(weights[rows[i]] @ values[i]) + bias) - 1
+            own = rows[i]
+            values = scale[own] * short[i]
+            gradient = sign[i] * (float(weights[own] @ values) + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                weights[rows[i]] += step * sign[i] * values[i]
+                weights[own] += step * sign[i] * values
                 bias += step * sign[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
@@ -139,10 +173,10 @@ def fitted(texts: list[str | None], labels: list[int]) -> Model:
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
-    rows = [found for _, buf, offsets in textio.slices([pa.record_batch({"text": pa.array(texts, pa.string())})], "text") for found in slice_features(buf, offsets)]
+    rows = rows_of(texts)
     weights, bias = dual_coordinate_descent(rows, log_count_ratios(rows, y), y)
     model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
-    model.slope, model.offset = logistic(np.array([model.margin(r) for r in rows]), y)
+    model.slope, model.offset = logistic(np.array([model.margin(rows[i]) for i in range(len(rows))]), y)
     return model
 
 
@@ -225,7 +259,7 @@ def fitted(texts: list[str | None], labels: list[int]) -> Model:
     rows = [found for _, buf, offsets in textio.slices([pa.record_batch({"text": pa.array(texts, pa.string())})], "text") for found in slice_features(buf, offsets)]
     weights, bias = dual_coordinate_descent(rows, log_count_ratios(rows, y), y)
     model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
-    model.slope, model.offset = logistic(np.array([model.margin(r) for r in rows]), y)
+    model.slope, model.offset = logistic(np.array([model.margin(rows[i]) for i in range(len(rows))]), y)
     return model
 
 
