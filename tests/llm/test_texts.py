@@ -221,6 +221,16 @@ def test_symbols_are_a_distribution():
     assert np.exp(logs).sum() == pytest.approx(1, rel=1e-3)
 
 
+def test_training_starts_from_the_base_shares():
+    counts = np.arange(2000, 0, -1)
+    of = language_model.Vocabulary({b"": 0}, counts, int(counts.sum()) + 700, 2500)
+    p = language_model.with_shares(language_model.started(), of)
+    n = language_model.SYMBOLS
+    logs, _ = language_model.outputs(p, np.zeros((n, language_model.HIDDEN), np.float32), np.arange(n))
+    assert np.exp(logs[:-1]) == pytest.approx((counts[: n - 1] + 0.5) / of.below, rel=1e-3)
+    assert np.exp(logs[-1]) == pytest.approx(of.outside() / of.below, rel=1e-3)
+
+
 def test_language_model_of_odd_documents(odd, nothing):
     got = language_model.score(odd, F.col("doc_id") % 2 == 1)
     rows = got.collect()
