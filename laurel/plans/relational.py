@@ -174,8 +174,9 @@ def dup_rank(spark, d):
 @query("mark_duplicates", "SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS duplicated FROM documents")
 def mark_duplicates(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    repeated = docs.groupBy("h").agg(F.count("*").alias("n"))
-    return docs.join(repeated, "h").select("doc_id", (F.col("n") > 1).alias("duplicated"))
+    # Only repeated keys are joined, and on another expression: both sides then have an exchange that a hot text can split.
+    repeated = docs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.reverse("h").alias("k"), F.lit(True).alias("twice"))
+    return docs.withColumn("k", F.reverse("h")).join(repeated, "k", "left").select("doc_id", F.coalesce("twice", F.lit(False)).alias("duplicated"))
 
 
 @query("top1_after_group", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 1")

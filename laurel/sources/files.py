@@ -39,7 +39,9 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return encoding_of(head)
 
 
-_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+#: What Spark reads; Windows-1252 is read as Latin-1, whose control characters then become its letters and marks.
+_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+_WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
 
 
 def header_of(spark: SparkSession, path: str, encoding: str = "utf-8") -> list[str]:
@@ -56,7 +58,10 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None, s
     encoding = encoding or detect_encoding(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("emptyValue", "")
-    return reader.option("encoding", _CHARSETS.get(encoding, encoding)).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path).na.fill("")
+    out = reader.option("encoding", _CHARSETS.get(encoding, encoding)).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path).na.fill("")
+    if encoding == "cp1252":
+        out = out.select(*[F.translate(F.col(c), "".join(_WINDOWS), "".join(_WINDOWS.values())).alias(c) for c in out.columns])
+    return out
 
 
 def read_csv_pair(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
