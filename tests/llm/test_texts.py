@@ -231,6 +231,52 @@ def test_training_starts_from_the_base_shares():
     assert np.exp(logs[-1]) == pytest.approx(of.outside() / of.below, rel=1e-3)
 
 
+def test_symbols_of_the_tree_are_a_distribution_that_starts_from_the_base_shares():
+    counts = np.append(np.arange(3000, 2000, -1), np.ones(700, int))
+    of = language_model.Vocabulary({b"": 0}, counts, int(counts.sum()) + 50, 1750)
+    n = of.symbols
+    assert n == 1001
+    p = language_model.with_shares(language_model.started(3, n), of)
+    every = np.arange(n)
+    logs, _ = language_model.outputs(p, np.zeros((n, language_model.HIDDEN), np.float32), every)
+    assert np.exp(logs[:-1]) == pytest.approx((counts[:1000] + 0.5) / of.below, rel=1e-3)
+    assert np.exp(logs[-1]) == pytest.approx(of.outside(n) / of.below, rel=1e-3)
+    h = np.random.default_rng(0).standard_normal((1, language_model.HIDDEN)).astype(np.float32)
+    assert np.exp(language_model.outputs(p, np.repeat(h, n, axis=0), every)[0]).sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_gradients_of_the_tree():
+    rng = np.random.default_rng(4)
+    p, h, y = language_model.started(1, 900), rng.standard_normal((80, language_model.HIDDEN)).astype(np.float32), rng.integers(0, 900, 80)
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    back = language_model.outputs(p, h, y, g)[1]
+
+    def loss(q, state):
+        return -language_model.outputs(q, state, y)[0].astype(float).sum()
+
+    for k in ("tail", "tail_bias"):
+        at = np.unravel_index(np.argmax(abs(g[k])), g[k].shape)
+        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+        up[k][at] += 0.01
+        down[k][at] -= 0.01
+        assert (loss(up, h) - loss(down, h)) / 0.02 == pytest.approx(g[k][at], rel=0.02)
+    at = np.unravel_index(np.argmax(abs(back)), back.shape)
+    up, down = h.copy(), h.copy()
+    up[at] += 0.01
+    down[at] -= 0.01
+    assert (loss(p, up) - loss(p, down)) / 0.02 == pytest.approx(back[at], rel=0.02)
+
+
+def test_words_beyond_the_most_frequent_511_are_told_apart(spark):
+    words = [f"w{i:04d}" for i in range(1500)]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(0, 1500, 50)] + [f"{w} w0000" for w in words[-40:]]  # equal counts of the last 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score(docs, F.lit(True)).collect()}
+    last = [got[i] for i in range(30, 70)]
+    assert len({round(r.base_score, 9) for r in last}) == 1
+    assert len({round(r.score, 4) for r in last}) > 20
+
+
 def test_language_model_of_odd_documents(odd, nothing):
     got = language_model.score(odd, F.col("doc_id") % 2 == 1)
     rows = got.collect()
