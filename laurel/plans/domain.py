@@ -142,6 +142,19 @@ def token_pairs_jaccard(spark, d):
     return dedup.token_pairs(rows, "p_partkey", "w", ["p_size"], 0.1)
 
 
+@query(
+    "token_pairs_jaccard_all",
+    """WITH w AS (SELECT p_partkey AS id, p_size AS s, list_distinct(string_split(p_name, ' ')) AS w FROM part), t AS (SELECT id, s, unnest(w) AS t FROM w),
+ p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM t a JOIN t b ON a.s = b.s AND a.t = b.t AND a.id < b.id)
+ SELECT a, b, len(list_intersect(x.w, y.w)) AS common, len(list_intersect(x.w, y.w)) = least(len(x.w), len(y.w)) AS containment,
+ len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS jaccard FROM p JOIN w x ON x.id = a JOIN w y ON y.id = b""",
+)
+def token_pairs_jaccard_all(spark, d):
+    """Pairs of all parts of one size that share a word, of whatever type and however few words they share."""
+    rows = table(spark, d, "part").withColumn("w", text.tokens(F.col("p_name")))
+    return dedup.token_pairs(rows, "p_partkey", "w", ["p_size"])
+
+
 @query(
     "alias_candidates",
     """WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),

@@ -38,6 +38,14 @@ def test_query_equals_sql(name, spark, sf, con):
     assert sorted(tuple(shown(r[c]) for c in columns) for r in rows) == sorted(tuple(shown(r[i]) for i in at) for r in found.fetchall())
 
 
+def test_token_pairs_of_all_parts(spark, sf, con):
+    parts = con.sql("SELECT p_partkey, p_size, p_name, p_type FROM part").fetchall()
+    words = [(k, size, set(name.split()), kind) for k, size, name, kind in parts]
+    pairs = {(min(x[0], y[0]), max(x[0], y[0])): x[3] == y[3] for i, x in enumerate(words) for y in words[:i] if x[1] == y[1] and x[2] & y[2]}
+    assert {(r.a, r.b) for r in catalog.QUERIES["token_pairs_jaccard_all"](spark, sf).collect()} == set(pairs)
+    assert not all(pairs.values())
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
