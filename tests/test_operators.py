@@ -122,3 +122,47 @@ def test_streamed_windows(spark, sf, tmp_path):
     query = rounds.tumbling(stream, "ts", "1 hour", ["event_type"], "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_event_alias_candidates_of_differing_names(spark):
+    from laurel.operators import aliases
+
+    rows = [
+        (1, "100 metres, Men", "Athletics", "Track"),
+        (2, "Men's 100 metres", "Athletics", "Track"),
+        (3, "Men's 100 metres Olympic", "Athletics", "Track"),
+        (4, "100 metres, Men", "Athletics", "Road"),
+        (5, "100 metres, Women", "Athletics", "Track"),
+        (6, "Sabre, Team, Men", "Fencing", None),
+        (7, "Sabre, Men", "Fencing", None),
+        (8, "Sabre, Individual, Masters, Three Hits, Men", "Fencing", None),
+        (9, "100 metres", "Athletics", "Track"),
+        (10, "100 metres, Men", "Athletics", "Track"),
+    ]
+    events = spark.createDataFrame(rows, "id long, name string, sport string, discipline string")
+    got = {(r.a, r.b): r["class"] for r in aliases.event_candidates(events, ["sport", "discipline"]).collect()}
+    assert got == {(1, 2): "AUTO", (1, 3): "AUTO", (2, 3): "AUTO", (2, 10): "AUTO", (3, 10): "AUTO", (6, 7): "REVIEW"}
+
+
+def test_people_alias_candidates_by_context(spark):
+    from laurel.operators import aliases
+
+    rows = [
+        (1, "Ana Silva", "1950-01-01"),
+        (2, "Ana Maria Silva", None),
+        (3, "Jon Smith", None),
+        (4, "John Smith", None),
+        (5, "Lee Ho", "1960-01-01"),
+        (6, "Lee Ho Jun", "1961-01-01"),
+        (7, "Bo Li", None),
+        (8, "Bo Li Wang", None),
+        (9, "Bo Li Chen", None),
+        (10, "Pele", None),
+        (11, "Pele Santos", None),
+        (12, "Ana Silva", None),
+    ]
+    people = spark.createDataFrame(rows, "id long, name string, born string")
+    at = [(i, "1972" if i < 12 else "1976", "X" if i < 7 else "Y", None) for i, _, _ in rows]
+    contexts = spark.createDataFrame(at + at[:2], "id long, edition string, noc string, team string")
+    got = {(r.a, r.b): r["class"] for r in aliases.people_candidates(people, contexts, ["edition", "noc", "team"]).collect()}
+    assert got == {(1, 2): "AUTO", (3, 4): "AUTO", (5, 6): "AMBIGUOUS", (7, 8): "AMBIGUOUS", (7, 9): "AMBIGUOUS"}
