@@ -181,17 +181,19 @@ def fitted(texts: list[str | None], labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
-    """A model from the rows of `docs` that have a label 0 or 1, within the bounds of the sample."""
+    """A model from the rows of `docs` that have a label 0 or 1, within the bounds of the sample.
+
+    Of the first `rows` ids in hash order, those whose texts do not fit into what is left of `size` are left out, and later ones go on.
+    """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     found = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    sizes = found.join(F.broadcast(chosen), "id").select("id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), F.xxhash64("id").alias("h")).collect()  # at most `rows` ids
+    sizes = found.join(F.broadcast(chosen), "id").groupBy("id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
     at, wanted = 0, []
-    for row in sorted(sizes, key=lambda r: (r.h, r.id, r.n)):
-        at += row.n
-        if at > size and wanted:
-            break
-        wanted.append(row.id)
+    for row in sizes.withColumn("h", F.xxhash64("id")).orderBy("h", "id").collect():  # at most `rows` ids
+        if at + row.n <= size:
+            at += row.n
+            wanted.append(row.id)
     if not wanted:
         return fitted([], [])
     sample = chosen.where(F.col("id").isin(wanted))
@@ -199,86 +201,6 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return fitted([r.text for r in learnt], [r.y for r in learnt])
 
 
-def score(self, found: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.offset, -30, 30))))
-
-
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """log(p / q) of every feature; p and q are its smoothed counts among positive and negative rows over their sums."""
-    counts = [np.full(FEATURES, SMOOTH), np.full(FEATURES, SMOOTH)]
-    for found, label in zip(rows, labels, strict=True):
-        counts[int(label)][found] += 1
-    sizes = [max(1, int((labels == k).sum())) + 2 * SMOOTH for k in (0, 1)]
-    return np.log(counts[1] / sizes[1]) - np.log(counts[0] / sizes[0])
-
-
-def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (already multiplied by `scale`) and bias of the L1-loss linear support vector machine; classes weigh alike."""
-    sign = np.where(labels == 1, 1.0, -1.0)
-    share = {1: (labels == 1).mean(), 0: (labels == 0).mean()}
-    cost = COST * np.array([0.5 / share[int(x)] for x in labels])
-    values = [scale[found] / np.sqrt(max(1, len(found))) for found in rows]
-    square = np.array([float(v @ v) + 1.0 for v in values])
-    alpha, weights, bias = np.zeros(len(rows)), np.zeros(FEATURES), 0.0
-    order = np.random.default_rng(7)
-    for _ in range(PASSES):
-        moved = 0.0
-        for i in order.permutation(len(rows)):
-            gradient = sign[i] * (float(weights[rows[i]] @ values[i]) + bias) - 1
-            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
-            step = new - alpha[i]
-            if step:
-                alpha[i] = new
-                weights[rows[i]] += step * sign[i] * values[i]
-                bias += step * sign[i]
-                moved = max(moved, abs(step))
-        if moved < 1e-3:
-            break
-    return weights * scale, bias
-
-
-def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method, towards labels drawn a little to the middle; a small ridge keeps it finite."""
-    high, low = (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2)
-    target = np.where(labels == 1, high, low)
-    x = np.stack([margins, np.ones(len(margins))], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * w * np.array([1, 0]))
-        w = w - step
-        if abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1])
-
-
-def fitted(texts: list[str | None], labels: list[int]) -> Model:
-    y = np.array(labels, dtype=np.int64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
-    rows = [found for _, buf, offsets in textio.slices([pa.record_batch({"text": pa.array(texts, pa.string())})], "text") for found in slice_features(buf, offsets)]
-    weights, bias = dual_coordinate_descent(rows, log_count_ratios(rows, y), y)
-    model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
-    model.slope, model.offset = logistic(np.array([model.margin(rows[i]) for i in range(len(rows))]), y)
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
-    """A model from the rows of `docs` that have a label 0 or 1, within the bounds of the sample."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    found = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most `rows` ids
-    at, texts, ys = 0, [], []
-    # The rows arrive in chunks; only `size` bytes of them are kept, so the driver's memory is bounded.
-    for row in found.select("id", "text", "y").orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        at += len((row.text or "").encode())
-        if at > size and texts:
-            break
-        texts.append(row.text)
-        ys.append(row.y)
-    return fitted(texts, ys)
-
-
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """Per row: id and score (0 to 1) of the whole text; with `keep`, all columns of `docs` (a "score" among them is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -152,6 +152,15 @@ def test_word_hashes_differ():
     assert len(np.unique(textio.word_hashes(buf, starts, ends))) == len(words)
 
 
+def test_a_long_labelled_text_does_not_end_the_sample(spark):
+    rows = [(i, ("good fine words here " if i % 2 else "bad junk spam there ") * 3) for i in range(40)]
+    first = spark.range(40).orderBy(F.xxhash64("id")).first().id
+    docs = spark.createDataFrame([(i, t * 400 if i == first else t) for i, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    scored = {r.doc_id: r.score for r in quality_model.score(docs, quality_model.fit(docs, labels, size=10_000)).collect()}
+    assert min(v for k, v in scored.items() if k % 2) > max(v for k, v in scored.items() if k % 2 == 0)
+
+
 # Language model.
 
 
