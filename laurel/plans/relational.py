@@ -198,6 +198,23 @@ def sort_by_medal_nulls_last(spark, d):
     return rows.limit(50).select("event", "medal", "position", "person")
 
 
+@query(
+    "sort_by_medal_whole_order",
+    FACTS
+    + """, g AS (SELECT event, medal, CASE WHEN line < 7 THEN position END AS position, person, edition, line FROM f)
+ SELECT *, row_number() OVER (PARTITION BY event ORDER BY CASE medal WHEN 'Gold' THEN 1 WHEN 'Silver' THEN 2 WHEN 'Bronze' THEN 3 ELSE 4 END, position NULLS LAST, person, edition, line) AS place FROM g""",
+)
+def sort_by_medal_whole_order(spark, d):
+    """The place of every row in its event by medal, then position; seventh lines have no position here, so that nulls are sorted too."""
+    from pyspark.sql import Window
+
+    from laurel.functions.parse import medal_rank
+
+    rows = facts(spark, d).select("event", "medal", F.when(F.col("line") < 7, F.col("position")).alias("position"), "person", "edition", "line")
+    order = Window.partitionBy("event").orderBy(medal_rank(F.col("medal")), F.asc_nulls_last("position"), "person", "edition", "line")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
 @query("seeded_stratified_sample", "SELECT c_mktsegment, c_custkey, place FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat('7:', CAST(c_custkey AS VARCHAR))), c_custkey) AS place FROM customer) WHERE place <= 10")
 def seeded_stratified_sample(spark, d):
     return counting.stratified_sample(table(spark, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], "c_custkey", 10, 7)

@@ -46,6 +46,12 @@ def test_token_pairs_of_all_parts(spark, sf, con):
     assert not all(pairs.values())
 
 
+def test_medal_order_is_whole(spark, sf, con):
+    rows = catalog.QUERIES["sort_by_medal_whole_order"](spark, sf).collect()
+    assert len(rows) == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert {r.medal for r in rows} == {"Gold", "Silver", "Bronze", None} and any(r.position is None for r in rows)
+
+
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
