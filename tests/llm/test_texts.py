@@ -119,14 +119,14 @@ def hits(text, items, width=13):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 3000])
-def test_decontamination(spark, sf, block_bytes):
+@pytest.mark.parametrize("block_windows", [1 << 20, 900, 37])
+def test_decontamination(spark, sf, block_windows):
     docs, items = documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
     short = spark.createDataFrame([(1001, "the"), (1002, "of the"), (1003, ""), (1004, None), (1005, "!!"), (1006, "and there in of a")], "item_id long, text string")
     items = items.unionByName(short)
     listed = [(r.item_id, r.text) for r in items.collect()]
     texts = {r.doc_id: r.text for r in docs.collect()}
-    got = decontaminate.judge(docs, items, block_bytes=block_bytes).collect()
+    got = decontaminate.judge(docs, items, block_windows=block_windows).collect()
     assert len(got) == len(texts)
     for r in got:
         n, h, found = hits(texts[r.doc_id], listed)
@@ -145,6 +145,20 @@ def test_decontamination_of_odd_documents(spark, odd, nothing):
     assert clean.columns == odd.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 3, 6, 7, 8, 8, 9, 10]
 
 
+@pytest.mark.parametrize("block_windows", [1 << 20, 2])
+def test_rows_are_judged_one_by_one(spark, block_windows):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"{passage} end"), (1, "clean words"), (1, "clean words"), (None, passage), (None, "other"), (2, None)]
+    items = spark.createDataFrame([(None, passage), (7, passage), (7, "q " + passage), (8, None), (9, "clean")], "item_id long, text string")
+    listed = [("null" if i is None else i, t) for i, t in [(r.item_id, r.text) for r in items.collect()]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.judge(docs, items, block_windows=block_windows).collect()
+    want = [(k, *hits(t, listed)) for k, t in rows]
+    assert sorted(map(str, [(r.doc_id, r.n_words, r.n_hit, r.items) for r in got])) == sorted(map(str, want))
+    left = decontaminate.clean(docs, items, block_windows=block_windows).collect()
+    assert sorted(map(str, [tuple(r) for r in left])) == sorted(map(str, [(None, "other"), (2, None)]))
+
+
 def test_word_hashes_differ():
     words = [f"w{i}" for i in range(20_000)]
     buf = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
