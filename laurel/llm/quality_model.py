@@ -7,11 +7,11 @@ a linear hinge-loss model is fitted to the scaled and length-normalised indicato
 logistic curve through its margins on the training rows gives the score.
 
 Fitting uses at most FIT_ROWS labelled rows (the smallest hashes of their ids) of at most FIT_BYTES bytes of text
-together, on the driver: a bounded, documented sample. Scoring reads every text whole. The model is broadcast; its
-size is fixed (a float for each of FEATURES).
+together: a bounded, documented sample, read by one task, so that the driver only ever holds ids and the model. Scoring
+reads every text whole. The model is broadcast; its size is fixed (a float for each of FEATURES).
 
 Nulls and empty texts have no features and get the score of the bias alone. Labels that are null are not learnt
-from; of several labels of one id the smallest counts. With rows of one class only, or none, every score is that
+from; of several labels of one id the smallest counts, and rows that share an id are learnt with it each. With rows of one class only, or none, every score is that
 class's (or one half). Repeated rows score alike; input columns beyond id and text are dropped.
 """
 
@@ -185,20 +185,29 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     Of the first `rows` ids in hash order, those whose texts do not fit into what is left of `size` are left out, and later ones go on.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id).alias("id")).agg(F.min(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     found = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    sizes = found.join(F.broadcast(chosen), "id").groupBy("id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
+    sizes = found.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
     at, wanted = 0, []
-    for row in sizes.withColumn("h", F.xxhash64("id")).orderBy("h", "id").collect():  # at most `rows` ids
+    for row in sizes.orderBy(F.xxhash64("id"), "id").collect():  # at most `rows` ids
         if at + row.n <= size:
             at += row.n
-            wanted.append(row.id)
-    if not wanted:
-        return fitted([], [])
-    sample = chosen.where(F.col("id").isin(wanted))
-    learnt = sorted(found.join(F.broadcast(sample), "id").select("id", "text", "y").collect(), key=lambda r: (r.id, r.text or ""))  # at most `size` bytes
-    return fitted([r.text for r in learnt], [r.y for r in learnt])
+            wanted.append((row.id, row.y))
+    sample = spark.createDataFrame(wanted, T.StructType([T.StructField("id", sizes.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, ys = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            ys += batch.column("y").to_pylist()
+        made = fitted(texts, ys)
+        yield pa.RecordBatch.from_pylist([{"weights": made.weights.tobytes(), "bias": made.bias, "slope": made.slope, "place": made.offset}])
+
+    learnt = found.join(F.broadcast(sample), "id").repartition(1).sortWithinPartitions("id", "text").select("text", "y")  # at most `size` bytes
+    made = learnt.mapInArrow(learn, "weights binary, bias double, slope double, place double").collect()
+    return Model(np.frombuffer(made[0].weights, dtype=np.float32), made[0].bias, made[0].slope, made[0].place) if made else fitted([], [])
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
