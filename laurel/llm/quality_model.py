@@ -17,7 +17,7 @@ class's (or one half). Repeated rows score alike; input columns beyond id and te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,14 +100,14 @@ class Rows:
         return self.flat[self.bounds[i] : self.bounds[i + 1]]
 
 
-def rows_of(texts: list[str | None]) -> Rows:
-    """Few large arrays instead of many small ones, so that the driver gets their memory back."""
-    parts, sizes = [], []
-    for at in range(0, len(texts), 256):
-        batch = pa.record_batch({"text": pa.array(texts[at : at + 256], pa.string())})
-        found = [x for _, buf, offsets in textio.slices([batch], "text") for x in slice_features(buf, offsets)]
+def rows_of(batches: Iterable[pa.RecordBatch]) -> tuple[Rows, np.ndarray]:
+    """Features and labels of batches (text, y): few large arrays instead of many small ones, so that the task gives their memory back."""
+    parts, sizes, labels = [np.zeros(0, np.int32)], [], []
+    for part, buf, offsets in textio.slices(batches, "text"):
+        found = slice_features(buf, offsets)
         sizes += map(len, found)
-        parts.append(np.concatenate(found).astype(np.int32))
+        parts.append(np.concatenate(found, dtype=np.int32, casting="same_kind"))
+        labels += part.column("y").to_pylist()
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     flat = np.empty(bounds[-1], dtype=np.int32)
     end = len(flat)
@@ -115,7 +115,7 @@ def rows_of(texts: list[str | None]) -> Rows:
         part = parts.pop()
         flat[end - len(part) : end] = part
         end -= len(part)
-    return Rows(flat, bounds)
+    return Rows(flat, bounds), np.array(labels, dtype=np.int64)
 
 
 def log_count_ratios(rows: Rows, labels: np.ndarray) -> np.ndarray:
@@ -169,11 +169,11 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fitted(texts: list[str | None], labels: list[int]) -> Model:
-    y = np.array(labels, dtype=np.int64)
+def fitted(batches: Iterable[pa.RecordBatch]) -> Model:
+    """A model from batches (text, y)."""
+    rows, y = rows_of(batches)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
-    rows = rows_of(texts)
     weights, bias = dual_coordinate_descent(rows, log_count_ratios(rows, y), y)
     model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
     model.slope, model.offset = logistic(np.array([model.margin(rows[i]) for i in range(len(rows))]), y)
@@ -198,16 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     sample = spark.createDataFrame(wanted, T.StructType([T.StructField("id", sizes.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ys = [], []
-        for batch in batches:
-            texts += batch.column("text").to_pylist()
-            ys += batch.column("y").to_pylist()
-        made = fitted(texts, ys)
+        made = fitted(batches)
         yield pa.RecordBatch.from_pylist([{"weights": made.weights.tobytes(), "bias": made.bias, "slope": made.slope, "place": made.offset}])
 
     learnt = found.join(F.broadcast(sample), "id").repartition(1).sortWithinPartitions("id", "text").select("text", "y")  # at most `size` bytes
     made = learnt.mapInArrow(learn, "weights binary, bias double, slope double, place double").collect()
-    return Model(np.frombuffer(made[0].weights, dtype=np.float32), made[0].bias, made[0].slope, made[0].place) if made else fitted([], [])
+    return Model(np.frombuffer(made[0].weights, dtype=np.float32), made[0].bias, made[0].slope, made[0].place) if made else fitted([])
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:

@@ -194,24 +194,30 @@ def test_base_scores_and_folds(spark, sf, monkeypatch):
         assert g.base_score == pytest.approx(base, rel=1e-9) and g.score < 0
 
 
+SHAPE = language_model.Shape(12, 4, 9)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    p, y, bounds = language_model.started(1), rng.integers(0, language_model.SYMBOLS, 60), np.array([0, 20, 33, 60])
+    p, y, bounds = language_model.started(SHAPE, 1), rng.integers(0, SHAPE.symbols, 60), np.array([0, 20, 33, 60])
 
     def loss(q):
         total = 0.0
         for x, first, there, place in language_model.windows(y, bounds, 2, 100, 0):
-            out = language_model.states(q, x, first, np.zeros((x.shape[1], language_model.HIDDEN), np.float32))
+            out = language_model.states(q, x, first, np.zeros((x.shape[1], SHAPE.hidden), np.float32))
             total -= language_model.outputs(q, out[there], y[place])[0].astype(float).sum()
         return total
 
     g = {k: np.zeros_like(v) for k, v in p.items()}
     for x, first, there, place in language_model.windows(y, bounds, 2, 100, 0):
-        kept = []
-        out = language_model.states(p, x, first, np.zeros((x.shape[1], language_model.HIDDEN), np.float32), kept)
+        kept = {}
+        out = language_model.states(p, x, first, np.zeros((x.shape[1], SHAPE.hidden), np.float32), kept)
         full = np.zeros_like(out)
         full[there] = language_model.outputs(p, out[there], y[place], g)[1]
         language_model.backward(p, x, first, kept, full, g)
+    rows, sums = g["into"]
+    g["into"] = np.zeros_like(p["into"])
+    g["into"][rows] = sums
     for k in p:
         at = np.unravel_index(np.argmax(abs(g[k])), g[k].shape)
         up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
@@ -220,11 +226,26 @@ def test_gradients():
         assert (loss(up) - loss(down)) / 0.02 == pytest.approx(g[k][at], rel=0.02)
 
 
+def test_the_state_is_carried_through_whole_texts():
+    rng = np.random.default_rng(6)
+    y, bounds = rng.integers(0, SHAPE.symbols, 9000), np.array([0, 10, 7000, 9000])
+    seen = np.zeros(len(y), int)
+    begun = 0
+    for x, first, there, place in language_model.windows(y, bounds, 2, 16, 0):
+        seen[place] += 1
+        begun += int(first.sum())
+        middle = there & ~first
+        before = np.full(there.shape, -1)
+        before[there] = place
+        assert (x[middle] == y[before[middle] - 1]).all()
+    assert (seen == 1).all() and begun == 3
+
+
 def test_scores_do_not_depend_on_lanes_and_training_helps():
     rng = np.random.default_rng(1)
     y = np.tile(np.array([3, 9, 27, 81, 0]), 2000)
     bounds = np.arange(0, len(y) + 1, 50)
-    p = language_model.started()
+    p = language_model.started(SHAPE)
     before = language_model.scored_on(p, y, bounds).sum()
     adam = language_model.Adam(p)
     for _ in range(4):
@@ -236,68 +257,113 @@ def test_scores_do_not_depend_on_lanes_and_training_helps():
     assert language_model.scored_on(p, z, cuts) == pytest.approx(alone, rel=1e-4)
 
 
-def test_symbols_are_a_distribution():
-    p = language_model.started(2)
-    h = np.random.default_rng(0).standard_normal((1, language_model.HIDDEN)).astype(np.float32)
-    every = np.arange(language_model.SYMBOLS)
-    logs, _ = language_model.outputs(p, np.repeat(h, len(every), axis=0), every)
-    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-3)
+def words_of_shape(n, heads):
+    return [b""] + [f"w{i:05d}{'abc'[i % 3]}".encode() for i in range(1, n)]
 
 
-def test_training_starts_from_the_base_shares():
-    counts = np.arange(2000, 0, -1)
-    of = language_model.Vocabulary({b"": 0}, counts, int(counts.sum()) + 700, 2500)
-    p = language_model.with_shares(language_model.started(), of)
-    n = language_model.SYMBOLS
-    logs, _ = language_model.outputs(p, np.zeros((n, language_model.HIDDEN), np.float32), np.arange(n))
-    assert np.exp(logs[:-1]) == pytest.approx((counts[: n - 1] + 0.5) / of.below, rel=1e-3)
-    assert np.exp(logs[-1]) == pytest.approx(of.outside() / of.below, rel=1e-3)
-
-
-def test_symbols_of_the_tree_are_a_distribution_that_starts_from_the_base_shares():
-    counts = np.append(np.arange(3000, 2000, -1), np.ones(700, int))
-    of = language_model.Vocabulary({b"": 0}, counts, int(counts.sum()) + 50, 1750)
-    n = of.symbols
-    assert n == 1001
-    p = language_model.with_shares(language_model.started(3, n), of)
-    every = np.arange(n)
-    logs, _ = language_model.outputs(p, np.zeros((n, language_model.HIDDEN), np.float32), every)
-    assert np.exp(logs[:-1]) == pytest.approx((counts[:1000] + 0.5) / of.below, rel=1e-3)
-    assert np.exp(logs[-1]) == pytest.approx(of.outside(n) / of.below, rel=1e-3)
-    h = np.random.default_rng(0).standard_normal((1, language_model.HIDDEN)).astype(np.float32)
-    assert np.exp(language_model.outputs(p, np.repeat(h, n, axis=0), every)[0]).sum() == pytest.approx(1, rel=1e-3)
-
-
-def test_gradients_of_the_tree():
-    rng = np.random.default_rng(4)
-    p, h, y = language_model.started(1, 900), rng.standard_normal((80, language_model.HIDDEN)).astype(np.float32), rng.integers(0, 900, 80)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    back = language_model.outputs(p, h, y, g)[1]
+def vocabulary_of(words, counts, shape):
+    tail = counts[shape.heads :] + 0.5
+    bounds = language_model.bounds_of(words[shape.heads :], tail, shape.tails)
+    shape = language_model.Shape(shape.hidden, shape.classes, len(bounds) + 1)
+    of = language_model.Vocabulary({w: k for k, w in enumerate(words)}, counts, int(counts.sum()), len(words), shape, bounds, np.full(shape.tails, 0.5))
+    np.add.at(of.masses, of.symbols()[shape.heads :] - shape.heads, tail)
+    return of
 
-    def loss(q, state):
-        return -language_model.outputs(q, state, y)[0].astype(float).sum()
 
-    for k in ("tail", "tail_bias"):
-        at = np.unravel_index(np.argmax(abs(g[k])), g[k].shape)
-        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
-        up[k][at] += 0.01
-        down[k][at] -= 0.01
-        assert (loss(up, h) - loss(down, h)) / 0.02 == pytest.approx(g[k][at], rel=0.02)
-    at = np.unravel_index(np.argmax(abs(back)), back.shape)
-    up, down = h.copy(), h.copy()
-    up[at] += 0.01
-    down[at] -= 0.01
-    assert (loss(p, up) - loss(p, down)) / 0.02 == pytest.approx(back[at], rel=0.02)
-
-
-def test_words_beyond_the_most_frequent_511_are_told_apart(spark):
-    words = [f"w{i:04d}" for i in range(1500)]
-    texts = [" ".join(words[k:] + words[:k]) for k in range(0, 1500, 50)] + [f"{w} w0000" for w in words[-40:]]  # equal counts of the last 40
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in language_model.score(docs, F.lit(True)).collect()}
-    last = [got[i] for i in range(30, 70)]
-    assert len({round(r.base_score, 9) for r in last}) == 1
-    assert len({round(r.score, 4) for r in last}) > 20
+def test_words_are_a_distribution_that_starts_from_their_shares():
+    counts = np.arange(2000, 0, -1)
+    words = words_of_shape(2000, SHAPE.heads)
+    of = vocabulary_of(words, counts, SHAPE)
+    p = language_model.with_shares(language_model.started(of.shape), of)
+    symbols = of.symbols()
+    every = np.arange(of.shape.symbols)
+    for h, at_start in ((np.zeros((1, of.shape.hidden), np.float32), True), (np.random.default_rng(0).standard_normal((1, of.shape.hidden)).astype(np.float32), False)):
+        logs = language_model.outputs(p, np.repeat(h, len(every), axis=0), every)[0] / np.log(10)
+        word_logs = logs[symbols] + np.where(symbols >= of.shape.heads, np.log10(counts + 0.5), 0) - of.log_masses()[symbols]
+        unseen = logs[of.shape.heads :] + np.log10(0.5) - np.log10(of.masses)
+        assert (10.0**word_logs).sum() + (10.0**unseen).sum() == pytest.approx(1, rel=1e-3)
+        if at_start:
+            share = (counts + 0.5) / (counts.sum() + 0.5 * (len(counts) + of.shape.tails))
+            assert 10.0**word_logs == pytest.approx(share, rel=1e-3)
+    assert of.symbol_of_rare(words[-1]) == symbols[-1]
+
+
+def test_tail_classes_have_like_shares():
+    rng = np.random.default_rng(2)
+    words = [rng.bytes(6) for _ in range(5000)]
+    weights = rng.integers(1, 9, 5000)
+    bounds = language_model.bounds_of(words, weights, 20)
+    place = np.array([np.searchsorted(np.array(bounds, object), w[::-1], side="right") for w in words])
+    sums = np.bincount(place, weights=weights)
+    assert len(sums) == 20 and sums.max() < 1.1 * sums.min()
+
+
+def brute_scores(docs, of, p):
+    """The definition, word by word: log10 of P(class) P(word | class) from states that are carried through each text."""
+    out = {}
+    for k, text in docs:
+        h, total, before = np.zeros((1, of.shape.hidden)), 0.0, of.end
+        for w in (text or "").encode().lower().split() + [b""]:
+            row, turn, n = p["into"][before].astype(float), (h @ p["gate"])[0], of.shape.hidden
+            z, r = (1 / (1 + np.exp(-(row[a : a + n] + turn[a : a + n]))) for a in (0, n))
+            new = np.tanh(row[2 * n :] + r * turn[2 * n :])
+            h = (new + z * (h[0] - new))[None]
+            rank = of.index.get(w, -1)
+            symbol = rank if 0 <= rank < of.shape.heads else of.symbol_of_rare(w)
+            logits = (h @ p["class"])[0] + p["class_bias"]
+            kind = symbol % of.shape.classes if symbol < of.shape.heads else symbol - of.shape.heads + of.shape.classes
+            total += (logits[kind] - np.log(np.exp(logits).sum())) / np.log(10)
+            if symbol < of.shape.heads:
+                logits = (h @ p["word"][kind])[0] + p["word_bias"][kind]
+                total += (logits[symbol // of.shape.classes] - np.log(np.exp(logits).sum())) / np.log(10)
+            else:
+                total += np.log10((of.every.get(w, 0) + 0.5) / of.masses[symbol - of.shape.heads])
+            before = symbol
+        out[k] = total
+    return out
+
+
+@pytest.fixture(scope="module")
+def scored(spark, sf):
+    """The query's scores on the small tables, with the vocabulary and the network that gave them."""
+    held = {}
+
+    def keep(learnt, words, tokens, fitted=language_model.fitted):
+        held.update(words=words.value, model=fitted(learnt, words, tokens))
+        return held["model"]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model, "FREQUENT", 3000)
+        patch.setattr(language_model, "fitted", keep)
+        got = {r.doc_id: r for r in registry.op5_lm(spark, sf).collect()}
+    return got, held["words"], held["model"]
+
+
+def test_scores_equal_the_definition(spark, sf, scored):
+    got, of, model = scored
+    docs = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
+    of.every = Counter(w for k, t in docs if not got[k].held_out for w in (t or "").encode().lower().split() + [b""])
+    sizes = np.zeros(of.shape.tails) + 0.5
+    for w, n in of.every.items():
+        if of.index.get(w, 1 << 30) >= of.shape.heads:
+            sizes[of.symbol_of_rare(w) - of.shape.heads] += n + 0.5
+    assert of.masses == pytest.approx(sizes)
+    some = [x for x in docs if len(x[1] or "") < 20_000][:60]
+    for k, score in brute_scores(some, of, language_model.unpacked(model, of.shape)).items():
+        assert got[k].score == pytest.approx(score, rel=1e-4)
+
+
+def test_the_model_beats_the_base_on_held_out_texts(scored):
+    held = [r for r in scored[0].values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf, scored):
+    shuffled = documents(spark, sf).repartition(7, F.rand(3)).persist()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model, "FREQUENT", 3000)
+        again = language_model.score(shuffled, registry.crc_remainder() != 1).collect()
+    assert all(r.score == pytest.approx(scored[0][r.doc_id].score, rel=1e-5) for r in again)
 
 
 def test_language_model_of_odd_documents(odd, nothing):
