@@ -5,7 +5,7 @@
    plus j at its own permutation's j-th position, and a document stops as soon as all positions are filled,
    since later ranks cannot lower them. Ranks of one element are thus correlated (each position once), which
    lowers the estimate's variance.
-2. Documents with equal sets form a class; its smallest id represents it. Copies go no further.
+2. Documents with equal sets form a class; a row of its smallest id represents it. Copies go no further.
 3. Bands of the signatures give buckets. Members of a bucket of bounded size are compared by signature in
    blocks, and only a spanning forest of the pairs whose estimate is near the threshold goes on; a larger
    bucket links its members to its smallest. Both only make coarse families, so nothing is lost by either.
@@ -16,8 +16,9 @@
 5. Verified links are united (alternating large-star and small-star steps on DataFrames).
 
 Nulls and texts without words have an empty set, link with nothing and are kept. A text of fewer words than the
-shingle is one shingle. Repeated rows of one id count as one document's row each. Very long texts are read whole.
-Empty tables give empty results; input columns beyond id and text are dropped.
+shingle is one shingle. Every row is grouped by its own text: rows that share an id but not the text may belong to different groups, and repeated
+rows belong to one. Ids may be of any type that has an order. A null id is never the smallest one: a group without any id has a null component_id and its rows are all kept.
+Very long texts are read whole. Empty tables give empty results; `groups` drops input columns beyond id and text, `deduplicated` keeps all.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared by signature; a larger one only makes a coarse family.
 BUCKET = 2048
 #: Members and shingles of a family that one task verifies; beyond either, anchors and blocks.
-FAMILY, FAMILY_SHINGLES = 4096, 3_000_000
+FAMILY, FAMILY_SHINGLES = 512, 1_000_000
 ANCHORS = 8
-#: Members (at most) of a block that meets all members of its family.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Members and shingles (about) of a block that meets all members of its family, and members that one task leads past the anchors.
+BLOCK, BLOCK_SHINGLES, LED = 8192, 4_000_000, 256
 #: Pairs whose estimated similarity lies so far below the threshold are not linked for verification.
 SLACK = 0.22
 
@@ -104,8 +105,8 @@ def super_minhash(elements: np.ndarray, bounds: np.ndarray, size: int) -> np.nda
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """id, n_shingles, digest (null for an empty set), sketch (a byte for each position) and bands (a hash each)."""
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, digest binary, sketch binary, bands array<long>"
+    """id, t (hash of the text), n_shingles, digest (null for an empty set), sketch (a byte for each position) and bands (a hash each)."""
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, t long, n_shingles long, digest binary, sketch binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in textio.slices(batches, "text"):
@@ -121,12 +122,13 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
+                    part.column("t"),
                     pa.array(sizes),
                     pa.array(digests, pa.binary()),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())) if len(part) else pa.array([], pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "digest", "sketch", "bands"],
+                ["id", "t", "n_shingles", "digest", "sketch", "bands"],
             )
 
     return docs.mapInArrow(run, schema)
@@ -368,12 +370,12 @@ def met(members: DataFrame, blocks: DataFrame, salts: DataFrame, width: int, per
 def large_families(members: DataFrame, width: int, percent: int, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) of families (family, id, n_shingles, text) of any size: anchors first, then those outside the largest component in blocks."""
     drawn = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"a{k}") for k in range(ANCHORS)]
-    chosen = members.groupBy("family").agg(F.ceil(F.count("*") / (4 * block)).alias("salts"), *drawn)
+    chosen = members.groupBy("family").agg(F.count("*").alias("n"), *drawn)
     chosen = shared.written(chosen, "anchors", few_files=True)
-    salts = chosen.select("family", "salts")
     anchors = chosen.select("family", F.explode(F.array_distinct(F.array(*[f"a{k}" for k in range(ANCHORS)]))).alias("id"))
-    anchored = members.join(anchors, ["family", "id"]).select("family", F.lit(0).cast("long").alias("number"), "id", "text")
-    tied = shared.written(met(members.select("family", "id", "text"), anchored, salts, width, percent), "tied", few_files=True)
+    anchored = members.join(anchors, ["family", "id"])
+    salts = chosen.select("family", F.ceil(F.col("n") / LED).alias("salts"))
+    tied = shared.written(met(members.select("family", "id", "text"), anchored.select("family", F.lit(0).cast("long").alias("number"), "id", "text"), salts, width, percent), "tied", few_files=True)
     grouped = components(tied).select(F.col("node").alias("id"), "component")
     placed = members.select("family", "id", "n_shingles").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("family", "component").count()
@@ -383,10 +385,11 @@ def large_families(members: DataFrame, width: int, percent: int, block: int = BL
     load = outside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") * 2 / block), F.ceil(F.sum("n_shingles") * 2 / block_shingles)).alias("blocks"))
     numbered = outside.join(load, "family").select("family", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("number"))
     held = shared.written(members.join(numbered, ["family", "id"]).select("family", "number", "id", "text"), "blocks")
+    salts = chosen.select("family", F.ceil(F.col("n") / block).alias("salts"))
     return tied.unionByName(met(members.select("family", "id", "text"), held, salts, width, percent))
 
 
-def groups(
+def groups_of_rows(
     docs: DataFrame,
     id: str = "doc_id",
     text: str = "text",
@@ -399,34 +402,47 @@ def groups(
     family_shingles: int = FAMILY_SHINGLES,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Per document (integer ids): id, n_shingles, component_id (the smallest id reached over links of at least `percent`) and kept (it is that id)."""
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    """Per row: id, t (hash of the text), n_shingles and component_id."""
+    source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
     signs = shared.written(signed(source, width, bands, rows), "signatures")
     classes = signs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = shared.written(classes, "classes", few_files=True)
-    reps = signs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = shared.written(reps.select("id", "n_shingles", "sketch", "bands"), "representatives")
-    families = shared.written(components(candidate_links(reps, percent / 100, bucket)).select(F.col("node").alias("id"), F.col("component").alias("family")), "families", few_files=True)
-    weighed = families.join(reps.select("id", "n_shingles"), "id")
+    # Joined by id and digest, so that a class of very many rows is no hot key.
+    first = classes.select(F.col("rep"), F.col("digest").alias("d"))
+    own = signs.join(first, signs["id"].eqNullSafe(first["rep"]) & (signs["digest"] == first["d"]), "left_semi").dropDuplicates(["digest"])
+    reps = shared.written(own.select(F.monotonically_increasing_id().alias("node"), "id", "t", "digest", "n_shingles", "sketch", "bands"), "representatives")
+    nodes = reps.select(F.col("node").alias("id"), "n_shingles", "sketch", "bands")
+    families = shared.written(components(candidate_links(nodes, percent / 100, bucket)).select(F.col("node").alias("id"), F.col("component").alias("family")), "families", few_files=True)
+    weighed = families.join(nodes.select("id", "n_shingles"), "id")
     sizes = weighed.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    wanted = weighed.join(sizes, "family").select("family", "id", "n_shingles", ((F.col("n") > family) | (F.col("total") > family_shingles)).alias("large"))
+    wanted = weighed.join(sizes, "family").select("family", F.col("id").alias("node"), ((F.col("n") > family) | (F.col("total") > family_shingles)).alias("large"))
+    wanted = wanted.join(reps.select("node", F.col("id").alias("rep"), F.col("t").alias("u"), "n_shingles"), "node")
     wanted = shared.written(wanted, "wanted", few_files=True)
-    texts = source.join(wanted, "id")
+    texts = source.join(wanted, source["id"].eqNullSafe(wanted["rep"]) & (source["t"] == wanted["u"])).select("family", F.col("node").alias("id"), "n_shingles", "text", "large")
     links = small_families(texts.where("NOT large"), width, percent)
     if not wanted.where("large").isEmpty():
         large = shared.written(texts.where("large"), "large")
         links = links.unionByName(large_families(large, width, percent, block))
     found = components(links.where("a <> b"))
-    merged = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signs.select("id", "n_shingles", "digest").join(merged, "digest", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    placed = reps.select("node", "id", "digest").join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("k"))
+    least = placed.groupBy("k").agg(F.min("id").alias("component_id"))
+    apart = least.select(F.bitwise_not("k").alias("k"), "component_id")  # an exchange of its own, as in components()
+    merged = placed.withColumn("k", F.bitwise_not("k")).join(apart, "k").select("digest", "component_id", F.lit(True).alias("linked"))
+    out = signs.select("id", "t", "n_shingles", "digest").join(merged, "digest", "left")
+    return out.select("id", "t", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reached over links of at least `percent`) and kept (it is that id); parameters as of groups_of_rows."""
+    found = groups_of_rows(docs, id, text, **parameters)
+    return found.select(F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """One row of each group (that of the smallest id), with the columns of `docs`; only the ids of the others are joined."""
-    rest = groups(docs, id, text, **parameters).where("NOT kept").select(id).distinct()
-    return docs.join(shared.written(rest, "copies", few_files=True), id, "left_anti").select(docs.columns)
+    """The rows of the smallest id of each group, with the columns of `docs`. Rows are told apart by id and hash of the text; only these of the others are joined."""
+    found = groups_of_rows(docs, id, text, **parameters)
+    rest = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
+    rest = shared.written(rest, "copies", few_files=True)
+    return docs.join(rest, docs[id].eqNullSafe(rest["_id"]) & (F.xxhash64(docs[text]) == rest["_t"]), "left_anti").select(docs.columns)
 
 
 #: Links of all pairs that share a shingle (4 words, 80 per cent) and what they reach, for a check on small tables.

@@ -77,6 +77,19 @@ def test_odd_documents(odd, nothing):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 9, 10]
 
 
+def test_rows_are_grouped_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, a), (3, a + " end"), (5, b), (5, b), (7, c), (None, c + " end"), (None, "only this here and no id"), (None, "only this here and no id"), (None, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.groups(docs, width=4).collect()]))
+    want = [(5, 57, 3, False), (3, 58, 3, True), (5, 57, 5, True), (5, 57, 5, True), (7, 57, 7, True), (None, 58, 7, False), (None, 3, None, True), (None, 3, None, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == sorted(map(str, want))
+    left = sorted(map(str, [tuple(r) for r in near_dup.deduplicated(docs, width=4).collect()]))
+    assert left == sorted(map(str, [rows[i] for i, w in enumerate(want) if w[3]]))
+    named = docs.where("doc_id IS NOT NULL").selectExpr("concat('n', doc_id) AS doc_id", "text")
+    assert {(r.doc_id, r.component_id) for r in near_dup.groups(named, width=4).collect()} == {("n5", "n3"), ("n3", "n3"), ("n5", "n5"), ("n7", "n7"), ("n9", "n9")}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
