@@ -3,16 +3,16 @@
 Writing: a page's block is an HTTP response with a chunked body. A block longer than a segment is split: the first
 record has segment number 1, continuation records name the first one as their origin, and the last has the total
 length. Of pages with equal payloads of at least `revisit_bytes`, the one with the smallest id is the response, the
-others are revisit records that refer to it. Spark's text writer writes the files (gzip), so archives go wherever
-Spark can write; a file holds a bounded number of records of bounded length.
+others are revisit records that refer to it. Every record is a gzip member of its own, so that a reader can seek to it. Spark's text writer writes
+the files (its line separator is the last byte of each member), so archives go wherever Spark can write; a file holds a bounded number of records of bounded length.
 
-Reading: files are parsed by Content-Length. Whole records are decoded at once; segments are grouped by their origin,
-ordered by number, and verified for gaps and total length before the chunk framing is decoded. A record that fails
-is returned with a null payload and its reason in `problem`, never dropped.
+Reading: files are read member by member (or as plain archives) and parsed by Content-Length. Whole records are decoded at once; segments are grouped by their origin,
+ordered by number, and verified for gaps and total length before the chunk framing is decoded. A record that fails, in its member, its fields, its length or its framing,
+is returned with a null payload and its reason in `problem`, never dropped, and reading goes on at the next record.
 
-Nulls: a null payload is empty; a null URL becomes the page's URN. Empty payloads are responses. Repeated rows of an
+Nulls: a null payload is empty; a null URL becomes the page's URN; a page with a null id is a response and comes back with a null id. Empty payloads are responses. Repeated rows of an
 id are archived and returned once each. Tables without rows give archives without records. Line breaks in URLs are
-percent-encoded. Other input columns are not archived. Ids are integers and not null.
+percent-encoded. Other input columns are not archived. Ids are integers.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
 RECORDS_PER_FILE = 2048
 REVISIT_BYTES = 100
+#: How hard members are packed, their first bytes, and bytes that are unpacked at a time.
+LEVEL, MAGIC, PIECE = 6, b"\x1f\x8b\x08", 4096
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, record_type string, origin string, segment int, total_length long, refers_to long, declared_digest string, payload_bytes long, payload binary, block binary, problem string"
@@ -67,12 +69,20 @@ def unchunked(body: bytes) -> bytes:
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    """A record without the last of the two line breaks that close it; the file's line separator adds that."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n"
+    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records_of(page: int, row: str, url: str | None, payload: bytes, digest: str, first: int | None, segment_bytes: int) -> list[bytes]:
+def member(data: bytes) -> bytes:
+    """A gzip member without its last byte, which is 0 as long as `data` has less than 2 to the 24 bytes: the file's line separator adds it."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    made = packer.compress(data) + packer.flush()
+    if made[-1] != 0:
+        raise ValueError("a record is too long for its segment size")
+    return made[:-1]
+
+
+def records_of(page: int | None, row: str, url: str | None, payload: bytes, digest: str, first: int | None, segment_bytes: int) -> list[bytes]:
     """All records of one page; `first` is the page that it revisits."""
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url) if url else f"urn:page:{page}"
     name = f"<urn:page:{page}:{row}>"
@@ -92,36 +102,60 @@ def records_of(page: int, row: str, url: str | None, payload: bytes, digest: str
     return out
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of every record of an uncompressed archive."""
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(fields with lower-case names, block, problem) of every record of an uncompressed archive; after a broken record reading goes on at the next one that can be found."""
     at = 0
     while True:
         at = data.find(b"WARC/", at)
         if at < 0:
             return
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a record's fields have no end")
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        fields: dict[str, str] = {}
+        block, problem, after = b"", None, -1
+        for line in data[at : end if end >= 0 else len(data)].split(b"\r\n")[1:]:
             key, _, value = line.partition(b":")
-            fields[key.strip().lower().decode()] = value.strip().decode()
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError("a record is shorter than its length")
-        yield fields, block
-        at = end + 4 + size
-
-
-def unzipped(data: bytes) -> bytes:
-    """The content of a file of one or more gzip members, or of one that is not compressed."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) if out else data
+            fields[key.strip().lower().decode(errors="replace")] = value.strip().decode(errors="replace")
+        size = fields.get("content-length", "")
+        if end < 0:
+            problem = "the fields have no end"
+        elif not (size.isascii() and size.isdigit()):
+            problem = "no content length"
+        elif end + 4 + int(size) > len(data):
+            problem = "shorter than the content length"
+        else:
+            after = end + 4 + int(size)
+            block = data[end + 4 : after]
+            if missing := [k for k in ("warc-record-id", "warc-type") if k not in fields]:
+                problem = f"no {missing[0]}"
+        yield fields, block, problem
+        if after < 0:
+            after = data.find(b"\r\n\r\nWARC/", at + 5)
+            if after < 0:
+                return
+        at = after
+
+
+def unzipped(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(content, problem) of every gzip member of a file, or of the whole file if it is not compressed; what is broken is passed over up to the next member."""
+    if data[:2] != MAGIC[:2]:
+        if data:
+            yield data, None
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        unpacker, out, to = zlib.decompressobj(31), [], at
+        try:
+            while not unpacker.eof and to < len(data):
+                out.append(unpacker.decompress(view[to : to + PIECE]))
+                to += PIECE
+            problem = None if unpacker.eof else "the member has no end"
+        except zlib.error as error:
+            problem = f"the member is broken: {error}"
+        yield b"".join(out), problem
+        if problem is None:
+            at = min(to, len(data)) - len(unpacker.unused_data)
+        else:
+            at = found if (found := data.find(MAGIC, at + 1)) >= 0 else len(data)
 
 
 def body_of(block: bytes) -> tuple[bytes | None, int | None]:
@@ -161,13 +195,38 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
                 n += 1
                 size += sum(map(len, made))
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(map(member, out), pa.binary())], ["value"])
                     out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(member, out), pa.binary())], ["value"])
 
     rows = typed(pages, id, url, html, revisit_bytes).select("id", "url", "payload", "digest", "first")
     lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+
+def page_of(name: str | None) -> int | None:
+    """The page id in a record's name; null where there is none."""
+    found = re.match(r"<urn:page:(-?\d+)[:>]", name or "")
+    return int(found[1]) if found else None
+
+
+def row_of(fields: dict[str, str], block: bytes, problem: str | None) -> dict:
+    """A RECORD of a record's fields and block; one with a problem has neither segment nor payload."""
+    name, number, total = fields.get("warc-record-id"), fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+    row = {"page_id": page_of(name), "record_type": fields.get("warc-type"), "refers_to": page_of(fields.get("warc-refers-to")), "problem": problem}
+    row |= {"origin": fields.get("warc-segment-origin-id", name), "declared_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or None}
+    if problem:
+        return row
+    try:
+        if number:
+            row |= {"segment": int(number), "total_length": int(total) if total else None, "block": block}
+        else:
+            row["payload"], row["payload_bytes"] = body_of(block)
+    except ValueError as error:
+        row["problem"] = str(error)
+    if row["record_type"] == "revisit":
+        row["payload"] = None
+    return row
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -178,26 +237,17 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for fields, block in parsed(unzipped(content.as_py())):
-                    page = lambda x: int(x.strip("<>").split(":")[2]) if x else None
-                    name, number = fields["warc-record-id"], fields.get("warc-segment-number")
-                    row = {"page_id": page(name), "record_type": fields["warc-type"], "origin": fields.get("warc-segment-origin-id", name), "segment": int(number) if number else None}
-                    row |= {"total_length": int(t) if (t := fields.get("warc-segment-total-length")) else None, "refers_to": page(fields.get("warc-refers-to"))}
-                    row["declared_digest"] = fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    if number:
-                        row["block"] = block
-                    else:
-                        try:
-                            row["payload"], row["payload_bytes"] = body_of(block)
-                        except ValueError as error:
-                            row["problem"] = str(error)
-                        if row["record_type"] == "revisit":
-                            row["payload"] = None
-                    rows.append(row)
-                    size += len(block)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
+                for data, broken in unzipped(content.as_py()):
+                    found = False
+                    for fields, block, problem in parsed(data):
+                        found = True
+                        rows.append(row_of(fields, block, problem or broken))
+                        size += len(block)
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+                    if not found:
+                        rows.append({"problem": broken or "no record"})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")

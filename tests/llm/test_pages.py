@@ -1,5 +1,6 @@
 """Archives by round trip, URL rules by direct evaluation."""
 
+import gzip
 import hashlib
 import re
 
@@ -20,12 +21,14 @@ def test_chunks_round_trip(payload, size):
 @given(st.binary(max_size=2000), st.integers(60, 500))
 def test_records_round_trip(payload, segment):
     made = warc.records_of(7, "0.0", "http://x/\r\n", payload, "d", None, segment)
-    found = list(warc.parsed(b"".join(r + b"\r\n" for r in made)))
-    assert len(found) == len(made)
-    block = b"".join(b for _, b in found)
+    found = list(warc.parsed(b"".join(made)))
+    assert len(found) == len(made) and all(p is None for _, _, p in found)
+    members = b"".join(warc.member(r) + b"\0" for r in made)
+    assert gzip.decompress(members) == b"".join(made) and [x for x, _ in warc.unzipped(members)] == made
+    block = b"".join(b for _, b, _ in found)
     assert warc.body_of(block)[0] == payload
     if len(found) > 1:
-        assert found[-1][0]["warc-segment-total-length"] == str(len(block)) and all(len(b) <= segment for _, b in found)
+        assert found[-1][0]["warc-segment-total-length"] == str(len(block)) and all(len(b) <= segment for _, b, _ in found)
 
 
 @pytest.mark.parametrize("broken", [b"5\r\nabc", b"zz\r\n", b"3\r\nabcX\r\n0\r\n\r\n", b""])
@@ -61,6 +64,37 @@ def test_missing_and_wrong_segments_are_reported(spark, tmp_path):
     assert warc.reassembled(segments.withColumn("total_length", segments["total_length"] + 1)).first().problem == "total length differs"
 
 
+def test_broken_archives_lose_only_what_is_broken(spark, tmp_path):
+    made = [warc.records_of(k, f"0.{k}", f"http://x/{k}", f"payload {k} ".encode() * 99, "d", None, 1 << 16)[0] for k in range(5)]
+    zipped = [warc.member(r) + b"\0" for r in made]
+    damaged = zipped[1][:40] + b"\xff" * 20 + zipped[1][60:]
+    no_length = [re.sub(rb"Content-Length: \d+\r\n(?=\r\nHTTP)", b"", made[1]), made[1].replace(b"WARC-Type", b"X-Type"), made[1].replace(b"chunked\r\n\r\n", b"chunked\r\n\r\nzz")]
+    files = {
+        "whole.txt": b"".join(zipped),
+        "cut.txt": b"".join(zipped[:3]) + zipped[3][:50],
+        "damaged.txt": zipped[0] + damaged + zipped[2],
+        "plain.txt": made[0] + no_length[0] + made[2] + no_length[1] + made[3],
+        "plain_cut.txt": made[0] + made[1][:-30],
+        "empty.txt": b"",
+        "other.txt": b"no archive at all",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        rows = warc.read(spark, f"file://{tmp_path}/{name}").collect()
+        good = sorted(r.page_id for r in rows if r.problem is None)
+        want, broken = {"whole.txt": (5, 0), "cut.txt": (3, 1), "damaged.txt": ([0, 2], 1), "plain.txt": ([0, 2, 3], 2), "plain_cut.txt": (1, 1), "empty.txt": (0, 0), "other.txt": (0, 1)}[name]
+        assert good == (list(range(want)) if isinstance(want, int) else want)
+        assert len(rows) - len(good) == broken and all(r.payload is None for r in rows if r.problem)
+        assert all(bytes(r.payload) == f"payload {r.page_id} ".encode() * 99 for r in rows if r.problem is None)
+
+
+def test_pages_without_an_id(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "a" * 200), (None, None, "b"), (2, "u", "a" * 200), (2, "u", "a" * 200), (3, "v", "a" * 200)], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w", segment_bytes=120)
+    rows = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes, r.problem) for r in rows) == sorted([("None", "response", "None", 200, None), ("None", "response", "None", 1, None), ("2", "response", "None", 200, None), ("2", "response", "None", 200, None), ("3", "revisit", "2", 200, None)], key=str)
+
+
 def test_no_pages(spark, tmp_path):
     warc.write(rows(spark).where("page_id < 0"), f"file://{tmp_path}/w")
     assert warc.read(spark, f"file://{tmp_path}/w").count() == 0
