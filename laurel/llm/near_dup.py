@@ -41,6 +41,8 @@ FAMILY, FAMILY_SHINGLES = 512, 1_000_000
 ANCHORS = 8
 #: Members and shingles (about) of a block that meets all members of its family, and members that one task leads past the anchors.
 BLOCK, BLOCK_SHINGLES, LED = 8192, 4_000_000, 256
+#: Rows (of six numbers at most, some 20 MB) that are broadcast; more are joined by an exchange.
+BROADCAST = 250_000
 #: Pairs whose estimated similarity lies so far below the threshold are not linked for verification.
 SLACK = 0.22
 
@@ -382,13 +384,20 @@ def large_families(members: DataFrame, width: int, percent: int, block: int = BL
     largest = sizes.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     outside = placed.join(largest, "family").where("component <> largest").select("family", "id", "n_shingles")
     # Blocks by hash: as many as keep the expected members and shingles of a block at half its bounds.
-    load = outside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") * 2 / block), F.ceil(F.sum("n_shingles") * 2 / block_shingles)).alias("blocks"))
+    load = outside.groupBy("family").agg(F.count("*").alias("outside"), F.greatest(F.ceil(F.count("*") * 2 / block), F.ceil(F.sum("n_shingles") * 2 / block_shingles)).alias("blocks"))
+    load = shared.written(load, "load", few_files=True)
     numbered = outside.join(load, "family").select("family", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("number"))
     held = shared.written(members.join(numbered, ["family", "id"]).select("family", "number", "id", "text"), "blocks")
-    salts = chosen.select("family", F.ceil(F.col("n") / block).alias("salts"))
+    # Every salt holds the blocks again: the more are outside, the more members a task leads past them.
+    salts = chosen.join(load, "family").select("family", F.ceil(F.col("n") / F.greatest(F.lit(LED), F.col("outside") / 8)).alias("salts"))
     return tied.unionByName(met(members.select("family", "id", "text"), held, salts, width, percent))
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of a few long columns, marked for a broadcast if it has at most BROADCAST rows; a larger one is joined by an exchange."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def groups_of_rows(
     docs: DataFrame,
     id: str = "doc_id",
@@ -417,11 +426,12 @@ def groups_of_rows(
     wanted = weighed.join(sizes, "family").select("family", F.col("id").alias("node"), ((F.col("n") > family) | (F.col("total") > family_shingles)).alias("large"))
     wanted = wanted.join(reps.select("node", F.col("id").alias("rep"), F.col("t").alias("u"), "n_shingles"), "node")
     wanted = shared.written(wanted, "wanted", few_files=True)
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["rep"]) & (source["t"] == wanted["u"])).select("family", F.col("node").alias("id"), "n_shingles", "text", "large")
+    few = bounded(wanted)
+    texts = source.join(few, source["id"].eqNullSafe(few["rep"]) & (source["t"] == few["u"])).select("family", F.col("node").alias("id"), "n_shingles", "text", "large")
+    texts = shared.written(texts, "texts")
     links = small_families(texts.where("NOT large"), width, percent)
     if not wanted.where("large").isEmpty():
-        large = shared.written(texts.where("large"), "large")
-        links = links.unionByName(large_families(large, width, percent, block))
+        links = links.unionByName(large_families(texts.where("large"), width, percent, block))
     found = components(links.where("a <> b"))
     placed = reps.select("node", "id", "digest").join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("k"))
     least = placed.groupBy("k").agg(F.min("id").alias("component_id"))
@@ -441,7 +451,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **para
     """The rows of the smallest id of each group, with the columns of `docs`. Rows are told apart by id and hash of the text; only these of the others are joined."""
     found = groups_of_rows(docs, id, text, **parameters)
     rest = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
-    rest = shared.written(rest, "copies", few_files=True)
+    rest = bounded(shared.written(rest, "copies", few_files=True))
     return docs.join(rest, docs[id].eqNullSafe(rest["_id"]) & (F.xxhash64(docs[text]) == rest["_t"]), "left_anti").select(docs.columns)
 
 

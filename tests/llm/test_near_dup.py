@@ -31,7 +31,8 @@ def found(df):
 
 
 @pytest.mark.parametrize("limits", [{}, {"family": 3, "block": 2}, {"bucket": 2}])
-def test_all_paths_equal_brute_force(spark, sf, limits):
+def test_all_paths_equal_brute_force(spark, sf, limits, monkeypatch):
+    monkeypatch.setattr(near_dup, "BROADCAST", 0 if limits else 1000)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 4, 80)
     assert found(near_dup.groups(docs, width=4, **limits)) == want
