@@ -30,11 +30,11 @@ def test_stages(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in inputs[2].collect() if (h := hits(r.text, items))[1] == 0 or 20 * h[1] < h[0]}
     assert {r.doc_id for r in outputs[2].collect()} == clean
-    found = {(r.doc_id, r.secret) for r in secret_scan.scan(inputs[3]).where("is_secret").collect()}
+    found = secret_scan.scan(inputs[3]).where("is_secret").collect()
     before, after = {r.doc_id: r.text for r in inputs[3].collect()}, {r.doc_id: (r.text, r.n_chars) for r in outputs[3].collect()}
     for k, text in before.items():
-        for s in sorted((s for d, s in found if d == k), key=len, reverse=True):
-            text = text.replace(s, "[secret]")
+        for r in sorted((r for r in found if r.doc_id == k), key=lambda r: -r.start):
+            text = text[: r.start] + "[secret]" + text[r.start + r.length :]
         assert after[k] == (text, len(text))
     library = Tokenizer.from_file(registry.TOKENIZER)
     for r in outputs[4].collect():
