@@ -6,7 +6,9 @@ of its own), so memory is bounded by the longest text and not by the Arrow batch
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,16 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
 
+def one_thread() -> None:
+    """One thread for matrix products in this process: its neighbours fill the other cores, and small products lose by more threads."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(batch slice, bytes of its texts one after the other, offsets of the texts); a null text is empty."""
     for batch in batches:
