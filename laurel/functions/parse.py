@@ -19,8 +19,8 @@ def blank_to_null(text: Column, unknown: tuple[str, ...] = ()) -> Column:
 
 
 def without_zero_fraction(text: Column) -> Column:
-    """"19.0" becomes "19"; any other fraction stays."""
-    return F.regexp_replace(text, r"\.0+$", "")
+    """"19.0" becomes "19"; any other fraction, "19.00" too, stays and does not parse as an integer."""
+    return F.regexp_replace(text, r"\.0$", "")
 
 
 def safe_cast(text: Column, kind: str) -> Column:

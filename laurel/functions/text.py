@@ -15,6 +15,14 @@ FOLD_FROM, FOLD_TO = "".join(_PLAIN), "".join(_PLAIN.values())
 #: Letters that fold to two.
 FOLD_PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
 BULLET = "•"
+#: Words that tell an event's gender (fixed values).
+GENDER_WORDS = {"WOMEN": ("women", "woman", "female", "girls", "girl"), "MEN": ("men", "man", "male", "boys", "boy"), "MIXED": ("mixed",)}
+#: Words that say no more than an event's sport (fixed values), and historical names of events with today's (fixed values).
+ROWING_WORDS = ("coxed", "coxless")
+SPORT_WORDS = ("coxed", "coxless", "alpine", "cross country", "freestyle", "nordic", "speed", "artistic", "rhythmic", "trampoline", "equestrianism", "equestrian", "jumping", "dressage", "eventing")
+SYNONYMS = {"race walk": "walk", "mixed": "open", "three day event": "eventing", "synchronized swimming": "artistic swimming"}
+#: Single words that are written in one way, or left out (fixed values).
+ONE_SPELLING = {"mens": "men", "womens": "women", "m": "metres", "meters": "metres", "x": "", "olympic": "", "olympics": "", "yog": ""}
 
 
 def fold(text: Column) -> Column:
@@ -84,14 +92,12 @@ def scalar(text: Column) -> Column:
 
 
 def event_gender(text: Column) -> Column:
-    """WOMEN, MEN, MIXED or UNKNOWN by whole words; women are looked for first."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"\b(women|woman|womens|female|girls?)\b"), "WOMEN")
-        .when(low.rlike(r"\b(mixed|open)\b"), "MIXED")
-        .when(low.rlike(r"\b(men|man|mens|male|boys?)\b"), "MEN")
-        .otherwise("UNKNOWN")
-    )
+    """WOMEN, MEN, MIXED or UNKNOWN by whole words of the normal form; women are looked for first, then men."""
+    words = F.split(normal(text), " ")
+    out = F.lit("UNKNOWN")
+    for gender, known in reversed(GENDER_WORDS.items()):
+        out = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in known])), gender).otherwise(out)
+    return out
 
 
 def event_signature(text: Column, parents: list[Column] | None = None, repeats: bool = False) -> Column:
@@ -108,6 +114,36 @@ def event_signature(text: Column, parents: list[Column] | None = None, repeats:
     return F.array_join(F.array_sort(words if repeats else F.array_distinct(words)), " ")
 
 
+def event_alignment(name: Column, sport: Column, discipline: Column, fine: bool = True) -> Column:
+    """Sorted distinct words of an event name without those of its sport and discipline, by which namings of one event agree.
+
+    `fine` also replaces historical names and leaves out all SPORT_WORDS; else only ROWING_WORDS go. Longer phrases go before shorter ones, whichever column or list they come from.
+    """
+    own = normal(F.regexp_replace(name, "×", "x"))
+    for old, new in SYNONYMS.items() if fine else ():
+        own = F.regexp_replace(own, rf"\b{old}\b", new)
+    parents = F.array(F.coalesce(normal(sport), F.lit("")), F.coalesce(normal(discipline), F.lit("")), *[F.lit(w) for w in (SPORT_WORDS if fine else ROWING_WORDS)])
+    if fine:
+        parents = F.array_sort(F.array_distinct(parents), lambda a, b: F.length(b) - F.length(a))
+    own = F.aggregate(F.filter(parents, lambda p: p != ""), own, lambda left, p: F.regexp_replace(left, F.concat(F.lit(r"\b"), p, F.lit(r"\b")), F.lit(" ")))
+    own = F.regexp_replace(F.regexp_replace(own, r"(\d+)\s*x\s*(\d+)", "$1x$2"), r"\b(men|women) s\b", "$1")
+    words = F.split(F.regexp_replace(own, r"\bnon medal\b", " "), " +")
+    spelled = F.transform(words, lambda w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ONE_SPELLING.items() for x in pair]), w), w))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(spelled, lambda w: w != ""))), " ")
+
+
+def id_order(id: Column) -> list[Column]:
+    """Sort keys of ids held as text: integers by value before all others, these as text."""
+    number = F.trim(id).try_cast("decimal(38,0)")
+    whole = F.when(F.trim(id).rlike(r"^[+-]?\d+$"), number)
+    return [whole.isNull(), whole, id]
+
+
+def locale_order(text: Column, locale: str = "UNICODE") -> Column:
+    """Sort key by which accented and capital letters stand beside their plain ones."""
+    return F.collate(text, locale)
+
+
 def event_parts(text: Column) -> Column:
     """gender, youth, non_medal, numbers with units and the remaining words of an event name."""
     low = F.regexp_replace(F.lower(F.regexp_replace(text, "×", "x")), r"(\d)[,.](\d{3})\b", "$1$2")

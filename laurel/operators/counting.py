@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laurel.functions.parse import MEDALS
+from laurel.operators.match import numbered
 
 
 def conditional_counts(rows: DataFrame, by: list[str], column: str, values: dict[str, str]) -> DataFrame:
@@ -92,10 +93,22 @@ def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 def value_frequencies(rows: DataFrame, column: str, n: int) -> DataFrame:
     """The n most and the n least frequent values: value, n, common_place and rare_place."""
     counted = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    both = ranked(ranked(counted, [F.desc("n"), "value"], name="common_place"), ["n", "value"], name="rare_place")
+    both = numbered(numbered(counted, [F.desc("n"), "value"], "common_place"), ["n", "value"], "rare_place")
     return both.where((F.col("common_place") <= n) | (F.col("rare_place") <= n))
 
 
+def shared_counts(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The multiset intersection of two tables' keys: key and n, the lesser of its counts; each side is counted before they meet."""
+    ones = a.groupBy(*key).agg(F.count("*").alias("_a")).join(b.groupBy(*key).agg(F.count("*").alias("_b")), key)
+    return ones.select(*key, F.least("_a", "_b").alias("n"))
+
+
+def remaining_counts(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The multiset difference: key and n, how much more often it is in `a` than in `b`."""
+    ones = a.groupBy(*key).agg(F.count("*").alias("_a")).join(b.groupBy(*key).agg(F.count("*").alias("_b")), key, "left")
+    return ones.select(*key, (F.col("_a") - F.coalesce("_b", F.lit(0))).alias("n")).where("n > 0")
+
+
 def stratified_sample(rows: DataFrame, strata: list[str], key: str, n: int, seed: int) -> DataFrame:
     """At most n rows of each stratum in the order of a hash of key and seed: the same rows at every run."""
     mixed = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))

@@ -71,6 +71,13 @@ def document_size(df: DataFrame, name: str, most: int = 16 << 20) -> DataFrame:
     return _row(df, name, 0, F.count_if(F.octet_length(F.to_json(F.struct("*"))) > most))
 
 
+def row_wise(df: DataFrame, conditions: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Gates that count faulty rows of one table, all in one scan: name -> (what makes a row faulty, detail)."""
+    rows = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"n{i}") for i, (bad, _) in enumerate(conditions.values())])
+    found = [F.struct(F.lit(name).alias("validation"), F.lit(0).cast("long").alias("expected"), F.col(f"n{i}").alias("actual"), F.when(F.col(f"n{i}") == 0, "PASS").otherwise("FAIL").alias("status"), F.lit(detail).alias("detail")) for i, (name, (_, detail)) in enumerate(conditions.items())]
+    return rows.select(F.inline(F.array(*found)))
+
+
 def report(gates: list[DataFrame]) -> DataFrame:
     out = gates[0]
     for gate in gates[1:]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laurel.operators import shared
+
 
 def prioritized(rows: DataFrame, steps: list[Column], id: str) -> DataFrame:
     """Rows that match the first of `steps` that any row matches, with its number as step. One aggregate over one scan decides."""
@@ -68,8 +70,49 @@ def homonyms(rows: DataFrame, name: Column, id: str) -> DataFrame:
 
 
 def edition_policy(rows: DataFrame, rules: DataFrame, year: str, season: str, field: str) -> DataFrame:
-    """rows with seasons replaced by rules (year, season, field or null for any, new_season or null to drop the row)."""
-    r = rules.select(F.col("year").alias("_y"), F.col("season").alias("_s"), F.col("field").alias("_f"), F.col("new_season").alias("_new"))
-    on = (rows[year] == r["_y"]) & r["_s"].eqNullSafe(rows[season]) & (r["_f"].isNull() | (rows[field] == r["_f"]))
-    out = rows.join(r, on, "left").where("_y IS NULL OR _new IS NOT NULL")
-    return out.withColumn(season, F.coalesce("_new", season)).select(rows.columns)
+    """rows with seasons replaced by rules (year, season, field or null for any, new_season or null to drop the row).
+
+    Of several rules that fit a row, one that names the row's field goes before one for any field, then that of the least new season; a row stays one row.
+    """
+    rule = F.struct(F.col("field").isNull().alias("any"), F.col("new_season").alias("new"), F.col("field").alias("f"))
+    r = rules.groupBy(F.col("year").alias("_y"), F.col("season").alias("_s")).agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
+    out = rows.join(r, (rows[year] == r["_y"]) & r["_s"].eqNullSafe(rows[season]), "left")
+    first = F.get(F.filter("_rules", lambda x: x["any"] | (x["f"] == F.col(field))), F.lit(0))
+    out = out.withColumn("_rule", first).where("_rule IS NULL OR _rule.new IS NOT NULL")
+    return out.withColumn(season, F.coalesce("_rule.new", season)).select(rows.columns)
+
+
+def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """rows with dense numbers from 1 in an order: range partitions are sorted by themselves, and each begins where the ones before end.
+
+    Only the sizes of the partitions reach the driver. Rows that tie in the whole order get any of their numbers.
+    """
+    ordered = shared.cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    sizes = ordered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("least")).orderBy("_p").collect()  # a row for each partition
+    at, starts = 0, []
+    for s in sizes:
+        starts.append((s["_p"], at - s["least"] + 1))
+        at += s["n"]
+    offsets = rows.sparkSession.createDataFrame(starts, "_p int, _offset long")
+    return ordered.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_m") + F.col("_offset")).select(*rows.columns, name)
+
+
+def remapped(rows: DataFrame, editions: DataFrame, targets: DataFrame, row_id: str, edition_id: str) -> tuple[DataFrame, DataFrame]:
+    """Editions merged into others, numbered anew by (year, season), and rows that follow them.
+
+    `editions` has `edition_id`, year and season; `targets` (year, season, new_year, new_season) names those that go. Of rows whose edition changed and that then
+    equal another row of a changed edition in all but `row_id`, the one of the smallest `row_id` stays. The rows that stay are numbered anew in the order of `row_id`. Gives both tables.
+    """
+    t = targets.select(F.col("year").alias("_y"), F.col("season").alias("_s"), "new_year", "new_season")
+    mapped = editions.join(t, (editions["year"] == t["_y"]) & (editions["season"] == t["_s"]), "left")
+    mapped = mapped.select(F.col(edition_id).alias("_old"), F.coalesce("new_year", "year").alias("year"), F.coalesce("new_season", "season").alias("season"), F.col("_y").isNotNull().alias("_went"))
+    kept = numbered(mapped.select("year", "season").distinct(), ["year", "season"], "_new")
+    moved = mapped.join(kept, ["year", "season"])
+    changes = moved.select(F.col("_old").alias(edition_id), "_new", F.col("_went").alias("_changed"))
+    followed = rows.join(changes, edition_id).withColumn(edition_id, F.col("_new").cast(rows.schema[edition_id].dataType)).drop("_new")
+    rest = [c for c in rows.columns if c != row_id]
+    # Rows of editions that keep theirs pass by the comparison.
+    once = followed.where("_changed").groupBy(*rest).agg(F.min(row_id).alias(row_id)).select(rows.columns)
+    out = followed.where("NOT _changed").select(rows.columns).unionByName(once)
+    numbers = numbered(out, [row_id], "_row").withColumn(row_id, F.col("_row").cast(rows.schema[row_id].dataType)).select(rows.columns)
+    return kept.select(F.col("_new").alias(edition_id), "year", "season"), numbers

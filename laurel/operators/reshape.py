@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from laurel.operators.match import numbered
+
 
 def melted(rows: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     """Long form of wide columns; nulls are kept."""
@@ -28,9 +29,8 @@ def with_matches(rows: DataFrame, array: str, predicate, name: str = "matches")
 
 
 def dimension(rows: DataFrame, columns: list[str], id: str) -> DataFrame:
-    """Distinct values with dense ids in their order. The numbering is one task's work: for dimensions, not for facts."""
-    distinct = rows.select(*columns).distinct()
-    return distinct.withColumn(id, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*columns)).cast("long"))
+    """Distinct values with dense ids in their order, numbered by range partitions and offsets."""
+    return numbered(rows.select(*columns).distinct(), columns, id)
 
 
 def hashed_id(*columns: Column) -> Column:

@@ -60,11 +60,12 @@ def results(tables: dict[str, DataFrame], wanted: str | None, year: int | None =
     mine = F.col("id_entidad") == entity if entity is not None else F.col("id_noc") == noc
     rows = star(tables).where(mine)
     rows = answers.where_all(rows, [None if year is None else F.col("anio") == year, None if season is None else F.col("temporada") == season, None if not (sport or "").strip() else F.lower("deporte").contains(sport.strip().lower())])
-    hosted = tables["edicion_olimpica"].join(tables["sede"].where(F.col("id_pais") == (entity if entity is not None else -1)).select("id_sede", F.col("nombre").alias("ciudad_sede")), "id_sede")
+    venues = tables["sede"].where(F.col("id_pais") == (entity if entity is not None else -1)).select("id_sede", F.col("nombre").alias("ciudad_sede"))
+    hosted = tables["edicion_olimpica"].join(venues, "id_sede")
     return Answer(
         Status.OK,
         given,
-        OrderedDict(profile=profile(tables, heads[0]), hosting=hosting(hosted), editions=hosted.select("id_edicion", "anio", "temporada", "ciudad_sede").orderBy("anio", "temporada"), totals=totals(rows, dialect), detail=detail(tables, rows, top)),
+        OrderedDict(profile=profile(tables, heads[0]), hosting=hosting(hosted, venues), editions=hosted.select("id_edicion", "anio", "temporada", "ciudad_sede").orderBy("anio", "temporada"), totals=totals(rows, dialect), detail=detail(tables, rows, top)),
     )
 
 
@@ -76,10 +77,11 @@ def profile(tables: dict[str, DataFrame], found) -> DataFrame:
     return one.crossJoin(latest)  # one row each
 
 
-def hosting(hosted: DataFrame) -> DataFrame:
-    """Whether, how often and where games were held."""
+def hosting(hosted: DataFrame, venues: DataFrame) -> DataFrame:
+    """Whether and how often games were held, and all the cities with a venue, those without an edition too."""
     label = F.concat("ciudad_sede", F.lit(" ("), F.col("anio").cast("string"), F.lit(" "), "temporada", F.lit(")"))
-    out = hosted.agg(F.count("*").alias("total_ediciones_como_sede"), F.array_join(F.array_sort(F.collect_set("ciudad_sede")), ", ").alias("ciudades_sede"), F.array_join(F.array_sort(F.collect_list(label)), ", ").alias("resumen_ediciones_como_sede"))
+    cities = venues.agg(F.array_join(F.array_sort(F.collect_set("ciudad_sede")), ", ").alias("ciudades_sede"))
+    out = hosted.agg(F.count("*").alias("total_ediciones_como_sede"), F.array_join(F.array_sort(F.collect_list(label)), ", ").alias("resumen_ediciones_como_sede")).crossJoin(cities)  # one row each
     return out.select(F.when(F.col("total_ediciones_como_sede") > 0, "SÍ").otherwise("NO").alias("ha_sido_sede"), "total_ediciones_como_sede", F.coalesce(F.nullif("ciudades_sede", F.lit("")), F.lit("Ninguna")).alias("ciudades_sede"), "resumen_ediciones_como_sede")
 
 

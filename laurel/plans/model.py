@@ -82,8 +82,10 @@ def model_gates(tables: dict[str, DataFrame]) -> DataFrame:
         out.append(gates.unique(df, f"{name} key", list(spec.key)))
         out += [gates.unique(df.dropna(subset=list(u)), f"{name} unique {', '.join(u)}", list(u)) for u in spec.unique]
         out += [gates.no_orphans(df, f"{name}.{c} exists", c, tables[t], k) for c, (t, k) in spec.references.items() if t in tables and c in df.columns]
-        out += [gates.not_null(df, f"{name}.{c} is given", c) for c in spec.required]
-        out += [gates.holds(df, f"{name} check {k}", F.expr(v)) for k, v in spec.checks.items()]
+        wise = {f"{name}.{c} is given": (F.col(c).isNull(), c) for c in spec.required}
+        wise |= {f"{name} check {k}": (~F.expr(v), "") for k, v in spec.checks.items()}
+        if wise:
+            out.append(gates.row_wise(df, wise))
     return gates.report(out)
 
 

@@ -44,33 +44,39 @@ _CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "la
 _WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
 
 
-def header_of(spark: SparkSession, path: str, encoding: str = "utf-8") -> list[str]:
+def header_of(spark: SparkSession, path: str, encoding: str = "utf-8", line_breaks: bool = False) -> list[str]:
     """The column names of a CSV file; ValueError if one occurs twice or is empty."""
-    first = spark.read.option("header", False).option("multiLine", True).option("escape", '"').option("encoding", _CHARSETS.get(encoding, encoding)).csv(path).first()
+    first = spark.read.option("header", False).option("multiLine", line_breaks).option("escape", '"').option("encoding", _CHARSETS.get(encoding, encoding)).csv(path).first()
     names = [(x or "").lstrip("﻿").strip() for x in (first or [])]
     if not names or "" in names or len(set(names)) != len(names):
         raise ValueError(f"{path}: the header has empty or repeated names: {names}")
     return names
 
 
-def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None, strict: bool = True) -> DataFrame:
-    """A CSV file with all columns as text and empty fields as empty text; with `strict`, ragged rows fail."""
+def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None, strict: bool = True, line_breaks: bool = False) -> DataFrame:
+    """A CSV file with all columns as text and empty fields as empty text; with `strict`, ragged rows fail.
+
+    `line_breaks` allows for line breaks within quotes; one task then reads a whole file. Without, files are split.
+    """
     encoding = encoding or detect_encoding(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("emptyValue", "")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding, line_breaks)])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", line_breaks).option("escape", '"').option("emptyValue", "")
     out = reader.option("encoding", _CHARSETS.get(encoding, encoding)).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path).na.fill("")
     if encoding == "cp1252":
         out = out.select(*[F.translate(F.col(c), "".join(_WINDOWS), "".join(_WINDOWS.values())).alias(c) for c in out.columns])
     return out
 
 
-def read_csv_pair(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_csv_pair(spark: SparkSession, path: str, line_breaks: bool = False) -> tuple[DataFrame, DataFrame]:
     """A CSV file twice: with inferred types, and as text."""
-    inferred = spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
-    return inferred, read_text_csv(spark, path, strict=False)
+    inferred = spark.read.option("header", True).option("inferSchema", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
+    return inferred, read_text_csv(spark, path, strict=False, line_breaks=line_breaks)
 
 
-def write_csv(df: DataFrame, path: str, line_end: str = "\n") -> None:
+def write_csv(df: DataFrame, path: str, line_end: str = "\n", mark: bool = False) -> None:
+    """CSV files with a header each; with `mark`, each begins with a byte order mark. Refuses a target that exists."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.option("header", True).option("escape", '"').option("lineSep", line_end).option("encoding", "UTF-8").mode("errorifexists").csv(path)
 
 

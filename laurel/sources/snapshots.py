@@ -92,8 +92,12 @@ class SnapshotStore:
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        fs.delete(where, False)
-        fs.rename(new, where)
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        kind = getattr(jvm, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        # One rename that overwrites: a reader sees the old file or the new one, never none.
+        jvm.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, where, options)
 
 
 def difference(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:

@@ -53,6 +53,13 @@ def upserting(stream: DataFrame, path: str, key: list[str], checkpoint: str) ->
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-        (appended(spark.read.parquet(path), df, key) if known else df.dropDuplicates(key)).write.mode("append").parquet(path)
+        if not known:
+            df.dropDuplicates(key).write.mode("append").parquet(path)
+            return
+        # Only row groups whose statistics meet the batch's span of the first key are read; sorted targets have few.
+        low, high = df.agg(F.min(key[0]), F.max(key[0])).first()
+        target = spark.read.parquet(path)
+        near = target if low is None else target.where(F.col(key[0]).between(low, high) | F.col(key[0]).isNull())
+        appended(near, df, key).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

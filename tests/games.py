@@ -6,7 +6,7 @@ ROWS = {
     "entidad_geografica": [(1, "Guatemala", "GTM"), (2, "Alemania", "DEU"), (3, "Côte d'Ivoire", "CIV"), (4, "Guinea", "GIN"), (5, "Guinea Ecuatorial", "GNQ"), (6, "Sin sede", None)],
     "deporte": [(1, "Athletics"), (2, "Fútbol")],
     "noc": [(10, "GUA", "Guatemala", 1, None), (20, "GER", "Germany", 2, None), (21, "GDR", "East Germany", 2, None), (30, "ROC", "ROC", None, None), (40, "CIV", "Ivory Coast", 3, None), (50, "GUI", "Guinea", 4, None), (51, "GEQ", "Equatorial Guinea", 5, None)],
-    "sede": [(1, "Munich", 2), (2, "Berlin", 2)],
+    "sede": [(1, "Munich", 2), (2, "Berlin", 2), (3, "Kiel", 2)],
     "edicion_olimpica": [(1, 1972, "Summer", 1), (2, 1936, "Summer", 2), (3, 2010, "Summer Youth", None), (4, 1976, "Summer", 1)],
     "disciplina": [(1, 1, "Athletics"), (2, 2, "Football")],
     "evento": [(1, 1, "200 metres, Men (Olympic)"), (2, 1, "Athletics Men's 200 metres"), (3, 2, "Football, Men (Olympic)"), (4, 1, "Athletics Men's 400 metres"), (5, 1, "100% race_[x]")],

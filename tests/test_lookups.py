@@ -99,7 +99,7 @@ def test_country_totals(t):
     assert (total.total_participaciones, total.total_atletas_distintos, total.medallas_oro_oficiales, total.total_medallas_oficiales_pais, total.preseas_totales_entregadas_a_atletas) == (6, 3, 2, 5, 6)
     document = country.results(t, "GER", dialect="document").tables["totals"].first()
     assert document.medallas_oro_oficiales == 1
-    assert answer.tables["hosting"].first().ciudades_sede == "Berlin, Munich"
+    assert answer.tables["hosting"].first().ciudades_sede == "Berlin, Kiel, Munich"
     assert answer.tables["hosting"].first().total_ediciones_como_sede == 3
     assert country.results(t, "GER", year=1936).tables["editions"].count() == 3
 
