@@ -24,7 +24,7 @@ from laurel.llm import textio
 from laurel.llm.vocabulary import vocabulary
 
 #: Pre-tokens whose ids a worker remembers; beyond it the memory is emptied (it saves work, never drops rows).
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _PLACE = 32
 
 
@@ -115,6 +115,7 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
                 columns.append(pa.array([of.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"][: len(columns)])
         of.known.clear()  # a worker serves other tasks next
+        textio.give_back()
 
     kind = docs.schema[id].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decoded

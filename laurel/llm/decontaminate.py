@@ -183,6 +183,7 @@ def searched(docs: DataFrame, patterns: list[Patterns], text: str, hits_only: bo
                 ["row", "n_words", "n_hit", "items", "spans"],
             )
             yield found.take(pa.array(sorted(items), pa.int64())) if hits_only else found
+        textio.give_back()
 
     return docs.select("row").mapInArrow(run, T.StructType([docs.schema["row"], *T.StructType.fromDDL(SCHEMA)]))
 

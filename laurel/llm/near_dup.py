@@ -132,6 +132,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 ],
                 ["id", "t", "n_shingles", "digest", "sketch", "bands"],
             )
+        textio.give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -242,7 +243,8 @@ def candidate_links(reps: DataFrame, threshold: float, bucket: int) -> DataFrame
                 for i, j in estimated_forest(sketches, least):
                     groups.union(ids[i], ids[j])
             found = groups.members()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+            yield _links(found)
+        textio.give_back()
 
     return blocks.select("m").mapInArrow(run, "a long, b long").unionByName(far)
 
@@ -322,6 +324,7 @@ def small_families(members: DataFrame, width: int, percent: int) -> DataFrame:
                 found = []
         done()
         yield _links(found)
+        textio.give_back()
 
     return members.repartition("family").sortWithinPartitions("family").select("family", "id", "text").mapInArrow(run, "a long, b long")
 
@@ -360,6 +363,7 @@ def met(members: DataFrame, blocks: DataFrame, salts: DataFrame, width: int, per
                 for k in np.flatnonzero(linked(common, sizes, len(own), percent)):
                     groups.union(ids[k], id_)
             yield _links(groups.members())
+        textio.give_back()
 
     columns = ["family", "number", "salt", "kind", "id", "text"]
     numbers = blocks.select("family", "number").distinct().join(salts, "family")

@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = fitted(batches)
+        textio.give_back()
         yield pa.RecordBatch.from_pylist([{"weights": made.weights.tobytes(), "bias": made.bias, "slope": made.slope, "place": made.offset}])
 
     learnt = found.join(F.broadcast(sample), "id").repartition(1).sortWithinPartitions("id", "text").select("text", "y")  # at most `size` bytes
@@ -216,5 +217,6 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
         for part, buf, offsets in textio.slices(batches, text):
             scores = [shared.value.score(found) for found in slice_features(buf, offsets)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score"])
+        textio.give_back()
 
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), T.StructField("score", T.DoubleType())]))

@@ -38,6 +38,14 @@ def one_thread() -> None:
                 break
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task, since a worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(batch slice, bytes of its texts one after the other, offsets of the texts); a null text is empty."""
     for batch in batches:
