@@ -24,7 +24,7 @@ from laurel.llm import textio
 from laurel.llm.vocabulary import vocabulary
 
 #: Pre-tokens whose ids a worker remembers; beyond it the memory is emptied (it saves work, never drops rows).
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _PLACE = 32
 
 
