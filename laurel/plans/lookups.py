@@ -47,7 +47,7 @@ STAR = f"""WITH g AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS
  p_name || CASE WHEN p_size % 2 = 0 THEN ' (Olympic)' ELSE '' END AS evento, p_size % 2 = 0 AS canonical, p_type AS disciplina, p_brand AS deporte, l_suppkey % 25 AS nat, CAST(l_quantity AS INTEGER) AS posicion,
  l_linenumber = 2 AS empatado, {MEDAL} AS medalla, CASE WHEN l_linenumber = 7 THEN 'DNF' END AS estado
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) """
-_NAME = "000001"
+_NAME = "Customer#00000001"
 
 
 def history(spark, d):
