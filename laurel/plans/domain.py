@@ -131,17 +131,6 @@ def homonym_groups(spark, d):
     return match.homonyms(table(spark, d, "part"), text.normal(F.col("p_name")), "p_partkey")
 
 
-@query(
-    "token_pairs_jaccard",
-    """WITH w AS (SELECT p_partkey AS id, p_size AS s, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_type = 'SMALL')
- SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS common, len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w)) AS containment,
- len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS jaccard FROM w a JOIN w b ON a.s = b.s AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 1""",
-)
-def token_pairs_jaccard(spark, d):
-    rows = table(spark, d, "part").where("p_type = 'SMALL'").withColumn("w", text.tokens(F.col("p_name")))
-    return dedup.token_pairs(rows, "p_partkey", "w", ["p_size"], 0.1)
-
-
 @query(
     "token_pairs_jaccard_all",
     """WITH w AS (SELECT p_partkey AS id, p_size AS s, list_distinct(string_split(p_name, ' ')) AS w FROM part), t AS (SELECT id, s, unnest(w) AS t FROM w),

@@ -57,21 +57,31 @@ def lateral_latest(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(latest, "c_custkey", "left")
 
 
-@query("key_join_cardinality_class", "SELECT p_partkey, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN 'MATCHED_EXACT' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS class, CASE WHEN n = 1 THEN m END AS match FROM part LEFT JOIN (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS m FROM supplier WHERE s_acctbal > 6000 GROUP BY 1) ON s_nationkey = p_size")
+@query(
+    "key_join_cardinality_class",
+    """SELECT c_custkey, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN 'MATCHED_EXACT' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS class, CASE WHEN n = 1 THEN m END AS match
+ FROM customer LEFT JOIN (SELECT s_nationkey AS k, floor(s_acctbal / 1000)::BIGINT AS b, count(*) AS n, min(s_suppkey) AS m FROM supplier GROUP BY 1, 2) ON k = c_nationkey AND b = floor(c_acctbal / 1000)::BIGINT""",
+)
 def key_join_cardinality_class(spark, d):
-    reference = table(spark, d, "supplier").where("s_acctbal > 6000").withColumnRenamed("s_nationkey", "p_size")
-    return match.key_matches(table(spark, d, "part"), reference, ["p_size"], "p_partkey", "s_suppkey")
+    rows = table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey AS k", "CAST(floor(c_acctbal / 1000) AS BIGINT) AS b")
+    reference = table(spark, d, "supplier").selectExpr("s_suppkey", "s_nationkey AS k", "CAST(floor(s_acctbal / 1000) AS BIGINT) AS b")
+    return match.key_matches(rows, reference, ["k", "b"], "c_custkey", "s_suppkey")
 
 
-@query("agreed_enrichment", "SELECT c_nationkey, min(c_mktsegment) AS c_mktsegment FROM customer WHERE c_acctbal > 9500 GROUP BY 1 HAVING count(DISTINCT c_mktsegment) = 1")
+@query("agreed_enrichment", "SELECT k, b, min(c_mktsegment) AS c_mktsegment FROM (SELECT c_nationkey AS k, floor(c_acctbal / 10)::BIGINT AS b, c_mktsegment FROM customer) GROUP BY 1, 2 HAVING count(DISTINCT c_mktsegment) = 1")
 def agreed_enrichment(spark, d):
-    return match.agreed_values(table(spark, d, "customer").where("c_acctbal > 9500"), ["c_nationkey"], ["c_mktsegment"])
+    rows = table(spark, d, "customer").selectExpr("c_nationkey AS k", "CAST(floor(c_acctbal / 10) AS BIGINT) AS b", "c_mktsegment")
+    return match.agreed_values(rows, ["k", "b"], ["c_mktsegment"])
 
 
-@query("full_outer_manifest", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'NOT_IN_MANIFEST' WHEN b.k IS NULL THEN 'MISSING' WHEN a.n = b.n THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
+@query(
+    "full_outer_manifest",
+    """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'NOT_IN_MANIFEST' WHEN b.k IS NULL THEN 'MISSING' WHEN a.n = b.n THEN 'MATCH' ELSE 'MISMATCH' END AS status
+ FROM (SELECT c_nationkey * 1000 + floor(c_acctbal / 100)::BIGINT AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey * 1000 + floor(s_acctbal / 100)::BIGINT AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""",
+)
 def full_outer_manifest(spark, d):
-    a = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("m"))
+    a = table(spark, d, "customer").groupBy(F.expr("c_nationkey * 1000 + CAST(floor(c_acctbal / 100) AS BIGINT)").alias("k")).agg(F.count("*").alias("n"))
+    b = table(spark, d, "supplier").groupBy(F.expr("s_nationkey * 1000 + CAST(floor(s_acctbal / 100) AS BIGINT)").alias("k")).agg(F.count("*").alias("m"))
     kind = F.when(F.col("n").isNull(), "NOT_IN_MANIFEST").when(F.col("m").isNull(), "MISSING").when(F.col("n") == F.col("m"), "MATCH").otherwise("MISMATCH")
     return a.join(b, "k", "full").select("k", kind.alias("status"))
 
@@ -190,14 +200,6 @@ def top20_people(spark, d):
     return counted.orderBy(F.desc("gold"), F.desc("total"), "person").limit(20)
 
 
-@query("sort_by_medal_nulls_last", FACTS + "SELECT event, medal, position, person FROM f WHERE year = 1997 ORDER BY CASE medal WHEN 'Gold' THEN 1 WHEN 'Silver' THEN 2 WHEN 'Bronze' THEN 3 ELSE 4 END, position NULLS LAST, event, person, edition, line LIMIT 50")
-def sort_by_medal_nulls_last(spark, d):
-    from laurel.functions.parse import medal_rank
-
-    rows = facts(spark, d).where("year = 1997").orderBy(medal_rank(F.col("medal")), F.asc_nulls_last("position"), "event", "person", "edition", "line")
-    return rows.limit(50).select("event", "medal", "position", "person")
-
-
 @query(
     "sort_by_medal_whole_order",
     FACTS
