@@ -34,9 +34,12 @@ def identity(rows: DataFrame, known: DataFrame, alias: list[str], compatible: Co
     """Match each row with known entities: STRONG (one compatible entity of the same alias), CONTEXTUAL (one that shares the context too), AMBIGUOUS or NEW.
 
     Both sides carry `alias` and the array columns `context`; `compatible` may refer to the columns of rows ("r") and known ("k"). Sources are matched one after the other by
-    the caller; within a source all rows are matched at once.
+    the caller; within a source all rows are matched at once. Rows and entities that agree in all columns but their ids meet once, so give only columns that are compared;
+    an entity is the only one if the least and the greatest are the same.
     """
-    r, k = rows.alias("r"), known.alias("k")
+    of, known_of = [c for c in rows.columns if c != id], [c for c in known.columns if c != known_id]
+    r = rows.select(of).distinct().alias("r")
+    k = known.groupBy(*known_of).agg(F.min(known_id).alias("_least"), F.max(known_id).alias("_most")).alias("k")
     same = F.lit(True)
     for a in alias:
         same = same & (F.col(f"r.{a}") == F.col(f"k.{a}"))
@@ -44,11 +47,17 @@ def identity(rows: DataFrame, known: DataFrame, alias: list[str], compatible: Co
     for c in context:
         shares = shares & F.arrays_overlap(F.col(f"r.{c}"), F.col(f"k.{c}"))
     joined = r.join(k, same & F.coalesce(compatible, F.lit(True)), "left")
-    joined = joined.select(F.col(f"r.{id}").alias("id"), F.col(f"k.{known_id}").alias("entity"), F.coalesce(shares, F.lit(False)).alias("near"))
-    grouped = joined.groupBy("id").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("one"), F.count_distinct(F.when(F.col("near"), F.col("entity"))).alias("n_near"), F.min(F.when(F.col("near"), F.col("entity"))).alias("near_one"))
-    kind = F.when(F.col("n") == 1, "STRONG").when(F.col("n_near") == 1, "CONTEXTUAL").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NEW")
-    entity = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_near") == 1, F.col("near_one"))
-    return grouped.select(F.col("id").alias(id), kind.alias("class"), entity.alias("entity"))
+    joined = joined.select(*[F.col(f"r.{c}").alias(f"_c{i}") for i, c in enumerate(of)], F.col("_least").alias("one"), F.col("_most").alias("most"), F.coalesce(shares, F.lit(False)).alias("near"))
+    joined = joined.select("*", F.when(F.col("near"), F.col("one")).alias("near_one"), F.when(F.col("near"), F.col("most")).alias("near_most"))
+    ends = [F.min("one").alias("one"), F.max("most").alias("most"), F.min("near_one").alias("near_one"), F.max("near_most").alias("near_most")]
+    found = joined.groupBy(*[f"_c{i}" for i in range(len(of))]).agg(*ends)
+    equal = F.lit(True)
+    for i, c in enumerate(of):
+        equal = equal & F.col(f"_c{i}").eqNullSafe(rows[c])
+    grouped = rows.join(found, equal).groupBy(rows[id].alias("id")).agg(*ends)
+    only, near_only = F.col("one") == F.col("most"), F.col("near_one") == F.col("near_most")
+    kind = F.when(only, "STRONG").when(near_only, "CONTEXTUAL").when(F.col("one").isNotNull(), "AMBIGUOUS").otherwise("NEW")
+    return grouped.select(F.col("id").alias(id), kind.alias("class"), F.when(only, F.col("one")).when(near_only, F.col("near_one")).alias("entity"))
 
 
 def inferred_from_companions(rows: DataFrame, context: list[str], value: str) -> DataFrame:

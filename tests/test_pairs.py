@@ -2,7 +2,9 @@
 
 import re
 
-from laurel.operators import aliases, shared
+from pyspark.sql import functions as F
+
+from laurel.operators import aliases, match, shared
 from laurel.plans import catalog
 
 
@@ -11,6 +13,24 @@ def exchanged_by_ends(df) -> bool:
     return re.search(r"Exchange hashpartitioning\([ab]#", df._jdf.queryExecution().executedPlan().toString()) is not None
 
 
+def joined_rows(df) -> int:
+    """The most rows that a join of the plan gives out."""
+    df.collect()
+
+    def most(plan) -> int:
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            below = [plan.executedPlan()]
+        elif name.endswith("QueryStage"):
+            below = [plan.plan()]
+        else:
+            below = [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        return max([own, *map(most, below)])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
 def test_keys_of_many_rows_meet_in_parts(spark):
     rows = spark.createDataFrame([(i, i % 3 if i < 50 else None) for i in range(60)], "id long, k long")
     left, right = shared.met(rows, ["k"], "id", most=4)
@@ -41,3 +61,26 @@ def test_events_within_a_block_are_judged_by_all_their_places(spark):
 
 def test_alias_events_are_not_exchanged_as_pairs(spark, sf):
     assert not exchanged_by_ends(catalog.QUERIES["alias_events_coexistence"](spark, sf))
+
+
+def test_identity_equals_brute_force(spark):
+    # Entities of several aliases, rows of several aliases, nulls (an unknown size is compatible), and rows and entities that are repeated.
+    rows = [(i % 40, f"n{i % 7}" if i % 11 else None, i % 9 if i % 13 else None, [f"c{i % 3}"] if i % 17 else None) for i in range(150)] + [(500, "only", 1, None)]
+    known = [(i % 60 if i % 19 else None, f"n{i * i % 9}", i % 23, [f"c{i % 4}", None]) for i in range(70)] + [(900, "only", 1, ["c1"]), (900, "only", 3, ["c2"])]
+    schema = "id long, name string, size long, near array<string>"
+    r, k = spark.createDataFrame(rows, schema), spark.createDataFrame(known, schema.replace("id ", "e "))
+    want = {}
+    for id in {x[0] for x in rows}:
+        met = [(e, bool(x[3]) and x[3][0] == near[0]) for x in rows if x[0] == id for e, name, size, near in known if e is not None and x[1] == name and (x[2] is None or abs(x[2] - size) <= 2)]
+        every, shared_too = {e for e, _ in met}, {e for e, n in met if n}
+        want[id] = ("STRONG", *every) if len(every) == 1 else ("CONTEXTUAL", *shared_too) if len(shared_too) == 1 else ("AMBIGUOUS" if every else "NEW", None)
+    got = match.identity(r, k, ["name"], F.abs(F.col("k.size") - F.col("r.size")) <= 2, ["near"], "id", "e")
+    assert {x.id: (x["class"], x.entity) for x in got.collect()} == want
+    assert {c for c, _ in want.values()} == {"STRONG", "CONTEXTUAL", "AMBIGUOUS", "NEW"}
+
+
+def test_identity_does_not_list_pairs_of_copies(spark):
+    rows = spark.range(300).select("id", F.lit("n").alias("name"), F.array(F.lit("c")).alias("near"))
+    got = match.identity(rows, rows.withColumnRenamed("id", "e"), ["name"], F.lit(True), ["near"], "id", "e")
+    assert joined_rows(got) <= 300
+    assert {(x["class"], x.entity) for x in got.collect()} == {("AMBIGUOUS", None)}
