@@ -1,7 +1,9 @@
 """Operators on pairs: what they give, and that pairs are not exchanged or listed on the way."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from laurel.operators import aliases, match, shared
@@ -13,8 +15,8 @@ def exchanged_by_ends(df) -> bool:
     return re.search(r"Exchange hashpartitioning\([ab]#", df._jdf.queryExecution().executedPlan().toString()) is not None
 
 
-def joined_rows(df) -> int:
-    """The most rows that a join of the plan gives out."""
+def most_rows(df, of: str = "Join") -> int:
+    """The most rows that a node of the plan with `of` in its name gives out."""
     df.collect()
 
     def most(plan) -> int:
@@ -25,7 +27,7 @@ def joined_rows(df) -> int:
             below = [plan.plan()]
         else:
             below = [plan.children().apply(i) for i in range(plan.children().size())]
-        own = plan.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+        own = plan.metrics().get("numOutputRows").get().value() if of in name and plan.metrics().contains("numOutputRows") else 0
         return max([own, *map(most, below)])
 
     return most(df._jdf.queryExecution().executedPlan())
@@ -82,5 +84,46 @@ def test_identity_equals_brute_force(spark):
 def test_identity_does_not_list_pairs_of_copies(spark):
     rows = spark.range(300).select("id", F.lit("n").alias("name"), F.array(F.lit("c")).alias("near"))
     got = match.identity(rows, rows.withColumnRenamed("id", "e"), ["name"], F.lit(True), ["near"], "id", "e")
-    assert joined_rows(got) <= 300
+    assert most_rows(got) <= 300
     assert {(x["class"], x.entity) for x in got.collect()} == {("AMBIGUOUS", None)}
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.93, 0.99])
+def test_roster_equals_brute_force(spark, least):
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choice("abc") for _ in range(n))
+
+    def changed(name: str) -> str:
+        for _ in range(draw.randrange(5)):
+            i = draw.randrange(len(name) + 1)
+            name = name[:i] + draw.choice(["", "a", "b"]) + name[i + draw.randrange(2) :]
+        return name
+
+    listed = [(i % 2, word(draw.randrange(12, 40))) for i in range(60)] + [(0, "a"), (1, ""), (0, None)]
+    rows = [(i, b, i % 70, changed(name) if name is not None else None) for i, (b, name) in enumerate(listed * 3)]
+    at = spark.createDataFrame(rows, "id long, block long, person long, name string")
+    on = {(b, p) for _, b, p, name in rows for x, r in listed if name is not None and r is not None and x == b and abs(len(name) - len(r)) <= 2 and (name == r or 1 - edits(name, r) / max(len(name), len(r)) >= least)}
+    first = {}
+    for id, b, p, _ in rows:
+        first.setdefault((b, p), id)
+    want = {id: "NOT_IN_ROSTER" if (b, p) not in on else "ROSTER_MATCH" if first[b, p] == id else "DUPLICATE_ROW" for id, b, p, _ in rows}
+    got = aliases.on_roster(at, spark.createDataFrame(listed, "block long, name string"), ["block"], "id", "person", "name", least=least).collect()
+    assert {r.id: r["class"] for r in got} == want and len(got) == len(rows)
+    assert len(set(want.values())) > 1
+
+
+def test_roster_looks_for_a_name_once(spark):
+    rows = spark.createDataFrame([(i, i % 2, i, "Customer number 00008") for i in range(300)], "id long, block long, person long, name string")
+    roster = spark.createDataFrame([(i % 2, f"Customer number 0000{i // 2}") for i in range(10)], "block long, name string")
+    got = aliases.on_roster(rows, roster, ["block"], "id", "person", "name", least=0.95)
+    assert most_rows(got, "Generate") < 300
+    assert {r["class"] for r in got.collect()} == {"ROSTER_MATCH"}
